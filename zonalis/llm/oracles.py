@@ -21,7 +21,7 @@ FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 EMBEDDING_DEDUP = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
-    embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fit
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit
   FROM embeddings),
 links AS (
   SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.r <> b.r AND a.fit AND b.fit AND len(a.e) = len(b.e)
