@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, simhash
+from . import bpe, decontaminate, embedding_dedup, langid, quality, simhash
+from .common import held_out
 from .oracles import oracle_sql  # noqa: F401
 
 
@@ -12,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out("doc_id", 4, 2)))
+    out = langid.predict(docs.select("doc_id", "text"), model, into="language")
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "language.*")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(docs, into="bpe").select("doc_id", "bpe.*")
@@ -21,6 +30,13 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4, 2)))
+    out = quality.score(docs, model, into="score").select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,8 +49,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_langid": op4_langid,
         "op5_bpe": op5_bpe,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
