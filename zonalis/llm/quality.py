@@ -3,12 +3,11 @@
 Two zstandard dictionaries are built, one from good and one from bad labelled
 texts.  A text is compressed with each, segment by segment, so that what a long text
 has of its own does not replace the dictionary.  The difference of the two sizes over
-the length of the text says which kind it resembles.  Logistic regression on labelled
-texts that built no dictionary turns that difference, and how short the text is, into a
+the length of the text says which kind it resembles.  Logistic regression turns that difference, and how short the text is, into a
 calibrated score.
 
-Fitting uses a bounded sample: ``SAMPLE`` labelled documents of each class for the
-dictionaries and as many for calibration, ``WINDOW`` characters of each at a place chosen
+Fitting uses a bounded sample: twice ``SAMPLE`` labelled documents of each class,
+``WINDOW`` characters of each at a place chosen
 by its hash.  Scoring reads every text whole.
 
 Defined results: a null text is scored as an empty one, which has the difference 0 and
@@ -36,9 +35,13 @@ SHORT = 128
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY) -> zstandard.ZstdCompressionDict:
     """A dictionary of at most ``size`` bytes; the texts themselves if they are too few to train one."""
-    if sum(map(len, texts)) > 8 * size:
-        return zstandard.train_dictionary(size, texts, level=LEVEL)
-    return zstandard.ZstdCompressionDict(b"\n".join(texts)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    if _few(texts, size):
+        return zstandard.ZstdCompressionDict(b"\n".join(texts)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.train_dictionary(size, texts, level=LEVEL)
+
+
+def _few(texts: list[bytes], size: int = DICTIONARY) -> bool:
+    return len(texts) < 32 or sum(map(len, texts)) <= 3 * size
 
 
 class Model:
@@ -99,15 +102,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = part.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("chance").alias("chance"), F.min("part").alias("part")).collect()
     rows = sorted(((r["chance"], r["y"], r["part"].encode()) for r in rows if r["part"]))
     parts = {y: [p for _, own, p in rows if own == y] for y in (0, 1)}
-    if min(map(len, parts.values())) < 2:
+    if min(map(len, parts.values())) < 4:
         edge = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(b"", b"", [float(np.log(edge / (1 - edge))), 0.0, 0.0], (True, True))
-    # Every second text builds a dictionary, the others calibrate.
-    good, bad = (dictionary(parts[y][::2]) for y in (1, 0))
-    raw = tuple(sum(map(len, parts[y][::2])) <= 8 * DICTIONARY for y in (1, 0))
-    model = Model(good.as_bytes(), bad.as_bytes(), [0.0, 0.0, 0.0], raw)
-    x, y = (np.array(c, dtype=np.float64) for c in zip(*[(model.evidence(p), y) for y in (0, 1) for p in parts[y][1::2]], strict=True))
-    return Model(good.as_bytes(), bad.as_bytes(), _logistic(x, y, prior), raw)
+    # Each half is measured with dictionaries of the other half; the final ones have both.
+    found = []
+    for half in (0, 1):
+        model = _dictionaries(parts[1][half::2], parts[0][half::2])
+        found += [(*model.evidence(p), y) for y in (0, 1) for p in parts[y][1 - half :: 2]]
+    found = np.array(found, dtype=np.float64)
+    good, bad, _, raw = _dictionaries(parts[1], parts[0]).state
+    return Model(good, bad, _logistic(found[:, :2], found[:, 2], prior), raw)
+
+
+def _dictionaries(good: list[bytes], bad: list[bytes]) -> Model:
+    made = [dictionary(texts).as_bytes() for texts in (good, bad)]
+    return Model(*made, [0.0, 0.0, 0.0], (_few(good), _few(bad)))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
