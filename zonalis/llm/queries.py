@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, langid, quality, simhash
+from . import bpe, decontaminate, embedding_dedup, html_text, langid, quality, secrets, simhash
 from .common import held_out
 from .oracles import oracle_sql  # noqa: F401
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_text.main_text(pages, into="text")
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out("doc_id", 4, 2)))
@@ -26,6 +32,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, into="bpe").select("doc_id", "bpe.*")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(docs), base="base", spans="all_spans")
+    counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text("base").cast("binary"), 256).alias("base_sha256"), secrets.span_text("all_spans").alias("spans"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +62,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_html_text": op2_html_text,
         "op4_langid": op4_langid,
         "op5_bpe": op5_bpe,
+        "op6_secrets": op6_secrets,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
