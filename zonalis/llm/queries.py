@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, html_text, langid, quality, secrets, simhash
+from . import bpe, decontaminate, embedding_dedup, html_text, langid, lm, quality, secrets, simhash
 from .common import held_out
 from .oracles import oracle_sql  # noqa: F401
 
@@ -20,6 +20,11 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 10, 0)
+    return lm.score(docs, lm.train(docs.filter(~out)), held_out=out)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out("doc_id", 4, 2)))
@@ -63,6 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_html_text": op2_html_text,
+        "op3_lm": op3_lm,
         "op4_langid": op4_langid,
         "op5_bpe": op5_bpe,
         "op6_secrets": op6_secrets,
