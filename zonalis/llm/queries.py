@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, html_text, langid, lm, quality, secrets, simhash
+from . import bpe, decontaminate, embedding_dedup, html_text, langid, lm, quality, secrets, simhash, token_counts
 from .common import held_out
 from .oracles import oracle_sql  # noqa: F401
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("text"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     text = html_text.main_text(pages, into="text")
@@ -67,6 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_html_text": op2_html_text,
         "op3_lm": op3_lm,
         "op4_langid": op4_langid,

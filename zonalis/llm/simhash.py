@@ -173,6 +173,5 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bit
     ids = materialise(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "fingerprints")
     roots = connected_components(linked(ids, "fp", bits)).filter("node <> root").select(F.col("node").alias(fp), F.col("root").alias(root))
     row, rank = F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text))
-    one = lambda df, key: df.groupBy(key).agg(F.min_by(row, rank).alias("kept")).select(key, "kept.*")
-    by_class = one(marked, fp)
-    return one(by_class.join(roots, fp, "left").withColumn(root, F.coalesce(root, fp)), root).select(*docs.columns)
+    rooted = marked.join(roots, fp, "left").withColumn(root, F.coalesce(root, fp))
+    return rooted.groupBy(root).agg(F.min_by(row, rank).alias("kept")).select("kept.*")
