@@ -19,14 +19,19 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
+
 #: Different pages of a host on which a subtree stands to be a template.
 PAGES = 5
+#: Templates that are broadcast at most, 8 bytes each.
+TABLE = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -245,34 +250,79 @@ SHAPE = T.StructType([T.StructField("signature", T.LongType()), T.StructField("s
 
 @F.arrow_udf(SHAPE)
 def shapes(pages: pa.Array) -> pa.Array:
-    read = [Page(h.as_py() or "") for h in pages]
-    return pa.StructArray.from_arrays([pa.array([p.signature() for p in read], pa.int64()), pa.array([p.subtrees() for p in read], pa.list_(pa.int64()))], names=SHAPE.names)
+    signatures, subtrees = [], []
+    for markup in pages:
+        page = Page(markup.as_py() or "")
+        signatures.append(page.signature())
+        subtrees.append(page.subtrees())
+    return pa.StructArray.from_arrays([pa.array(signatures, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=SHAPE.names)
 
 
 @F.arrow_udf(T.StringType())
-def main_texts(pages: pa.Array, templates: pa.Array) -> pa.Array:
+def _texts_by_list(pages: pa.Array, templates: pa.Array) -> pa.Array:
     return pa.array([Page(h.as_py() or "").text(frozenset(t.as_py() or ())) for h, t in zip(pages, templates, strict=True)], pa.string())
 
 
-def host(url):
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+def _texts_by_table(known):
+    """Main texts where ``known`` holds the keys of all templates, sorted."""
+
+    @F.arrow_udf(T.StringType())
+    def run(pages: pa.Array, hosts: pa.Array) -> pa.Array:
+        own, out = known.value, []
+        for markup, name in zip(pages, hosts, strict=True):
+            page = Page(markup.as_py() or "")
+            found = np.array(page.subtrees(), dtype=np.int64)
+            mixed = mix(found, name.as_py())
+            place = np.minimum(np.searchsorted(own, mixed), max(len(own) - 1, 0))
+            out.append(page.text(frozenset(found[own[place] == mixed].tolist() if len(own) else ())))
+        return pa.array(out, pa.string())
+
+    return run
+
+
+def mix(subtrees: np.ndarray, host_key: int) -> np.ndarray:
+    """One key for a subtree on a host."""
+    return (subtrees.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(host_key % (1 << 64))).view(np.int64)
 
 
-def templates(pages: DataFrame, *, url: str = "url", html: str = "html", least: int = PAGES) -> DataFrame:
-    """(page, subtrees): by digest of host and html, the hashes of the page's template subtrees."""
-    found = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).select("host", _digest("host", "html").alias("page"), shapes("html").alias("shape")).select("host", "page", "shape.signature", F.explode("shape.subtrees").alias("subtree"))
-    recurring = found.select("host", "subtree", "signature").distinct().groupBy("host", "subtree").count().filter(F.col("count") >= least).drop("count")
-    # A page copied word for word has one digest and so one list.
-    return found.select("host", "subtree", "page").distinct().join(recurring, ["host", "subtree"]).groupBy("page").agg(F.collect_list("subtree").alias("subtrees"))
+def host(url):
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def _digest(host_column, html_column):
     return F.md5(F.concat_ws("\x00", host_column, html_column).cast("binary"))
 
 
-def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", into: str = "text", least: int = PAGES) -> DataFrame:
-    """``pages`` with the main text of each."""
+def read_shapes(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, page, signature, subtrees) of every page, written; ``host`` is a hash and ``page`` a digest."""
+    name = host(F.col(url))
+    own = pages.select(F.xxhash64(name).alias("host"), _digest(name, F.col(html)).alias("page"), shapes(F.col(html)).alias("shape"))
+    return materialise(own.select("host", "page", "shape.*"), "shapes")
+
+
+def templates(read: DataFrame, least: int = PAGES) -> DataFrame:
+    """(host, subtree) of the subtrees that recur on ``least`` different pages of a host."""
+    found = read.select("host", "signature", F.explode("subtrees").alias("subtree")).distinct()
+    return materialise(found.groupBy("host", "subtree").count().filter(F.col("count") >= least).select("host", "subtree"), "templates")
+
+
+def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", into: str = "text", least: int = PAGES, table: int = TABLE) -> DataFrame:
+    """``pages`` with the main text of each.
+
+    Up to ``table`` templates go to the workers as one broadcast array; beyond that
+    every page gets its own list by a join.
+    """
     kept = [c for c in pages.columns if c.lower() != into.lower()]
-    own = pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(html).alias("html"), _digest(host(F.col(url)), F.col(html)).alias("page"))
-    joined = own.join(templates(pages, url=url, html=html, least=least), "page", "left")
-    return joined.select("row", main_texts("html", "subtrees").alias("body")).select("row.*", F.col("body").alias(into))
+    read = read_shapes(pages, url=url, html=html)
+    found = templates(read, least)
+    own = pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(html).alias("html"), host(F.col(url)).alias("host"))
+    if found.count() <= table:
+        keys = [mix(np.array([r["subtree"]], dtype=np.int64), r["host"])[0] for r in found.toLocalIterator()]
+        known = pages.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, dtype=np.int64)))
+        done = own.select("row", _texts_by_table(known)(F.col("html"), F.xxhash64("host")).alias("body"))
+    else:
+        # A page copied word for word has one digest and so one list.
+        lists = read.select("host", "page", F.explode("subtrees").alias("subtree")).distinct().join(found, ["host", "subtree"]).groupBy("page").agg(F.collect_list("subtree").alias("subtrees"))
+        joined = own.withColumn("page", _digest(F.col("host"), F.col("html"))).join(lists, "page", "left")
+        done = joined.select("row", _texts_by_list("html", "subtrees").alias("body"))
+    return done.select("row.*", F.col("body").alias(into))
