@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 #: The split of byte-level BPE (fixed value of the public format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A worker's table of encoded pieces is emptied beyond this many entries; longer pieces are not kept.
-TABLE_ENTRIES, TABLE_PIECE = 200_000, 64
+#: Entries of each of a worker's two tables of encoded pieces; longer pieces are not kept.
+TABLE_ENTRIES, TABLE_PIECE = 600_000, 64
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -53,43 +55,54 @@ class Codec:
         byte_of = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        #: By pair of ids: rank and id of what they make.
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: A pair of ids is written as one number, first * base + second.
+        self.base = max(vocab.values()) + 1
+        self.ranks: dict[int, int] = {}
+        self.makes: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a] * self.base + vocab[b]] = rank
+            self.makes.append(vocab[a + b])
         self.byte_id = [vocab[letters[b]] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         strings = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
         self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.split = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        #: Encoded pieces; those not met again while the table fills up once are forgotten.
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: merges by a queue of ranks over a linked list."""
         ids = [self.byte_id[b] for b in piece]
-        n, merges = len(ids), self.merges
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(*made, i, ids[i], ids[i + 1]) for i in range(n - 1) if (made := merges.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, made, a, b) for rank, made, i, a, b in queue]
+        n, base, rank_of = len(ids), self.base, self.ranks.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        # A queue entry is rank * n + place: the least rank first, the leftmost of equals.
+        queue = [rank * n + i for i, (a, b) in enumerate(pairwise(ids)) if (rank := rank_of(a * base + b)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, made, a, b = heapq.heappop(queue)
+            rank, i = divmod(heapq.heappop(queue), n)
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if j == n or ids[i] < 0 or rank_of(ids[i] * base + ids[j]) != rank:
                 continue  # stale: one of the two has been merged since
+            made = self.makes[rank]
             ids[i], ids[j] = made, -1
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if new := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (new[0], i, new[1], made, ids[k]))
-            if (h := before[i]) >= 0 and (new := merges.get((ids[h], made))):
-                heapq.heappush(queue, (new[0], h, new[1], ids[h], made))
+                if (new := rank_of(made * base + ids[k])) is not None:
+                    heapq.heappush(queue, new * n + i)
+            if (h := before[i]) >= 0 and (new := rank_of(ids[h] * base + made)) is not None:
+                heapq.heappush(queue, new * n + h)
         return [x for x in ids if x >= 0]
 
     def _packed(self, piece: str) -> bytes:
-        out = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.encode_piece(piece.encode())) else b""
         if len(piece) <= TABLE_PIECE:
             if len(self.table) >= TABLE_ENTRIES:
+                self.older = self.table.copy()
                 self.table.clear()
             self.table[piece] = out
         return out
@@ -151,7 +164,9 @@ def encode(docs: DataFrame, *, text: str = "text", path: str | None = None, into
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(texts: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.encode(t.as_py() or "", special) for t in texts], pa.list_(pa.int32()))
+        packed = [own.encode_packed(t.as_py() or "", special) for t in texts]
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
 
     return docs.withColumn(into, run(F.col(text)))
 
