@@ -159,7 +159,7 @@ def is_level_index(df: DataFrame, level: str) -> bool:
 
 def time_step_hours(df: DataFrame, time: str) -> float:
     """Median difference of neighbouring times."""
-    steps = df.select(F.unix_micros(time).alias("t")).distinct().withColumn("next", F.lead("t").over(W.orderBy("t")))
+    steps = df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t")).distinct().withColumn("next", F.lead("t").over(W.orderBy("t")))
     return steps.agg(F.percentile((F.col("next") - F.col("t")) / 3.6e9, 0.5)).first()[0]
 
 

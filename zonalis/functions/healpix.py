@@ -148,8 +148,8 @@ def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
 
 
 def chord2(one: tuple[Column, Column, Column], two: tuple[Column, Column, Column]) -> Column:
-    """Squared chord between two unit vectors."""
-    return sum(((a - b) * (a - b) for a, b in zip(one[1:], two[1:], strict=True)), (one[0] - two[0]) * (one[0] - two[0]))
+    """Squared chord between two unit vectors, to 12 digits so that equal distances are equal."""
+    return F.round(sum(((a - b) * (a - b) for a, b in zip(one[1:], two[1:], strict=True)), (one[0] - two[0]) * (one[0] - two[0])), 12)
 
 
 def wavelength_km(degree: Column) -> Column:

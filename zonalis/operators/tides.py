@@ -31,14 +31,14 @@ def parse_mode(name: str) -> tuple[float | None, int]:
 
 
 def elapsed_hours(time: str) -> Column:
-    return F.unix_micros(time) / 3.6e9
+    return F.unix_micros(F.col(time).cast("timestamp")) / 3.6e9
 
 
 def least_squares(field: DataFrame, keys: list[str], value: str, hours: Column, periods: list[float]) -> DataFrame:
     """keys, period_h, c, s, mean: the fit of c cos(wt) + s sin(wt) + mean to every series, one period at a time.
 
     The normal equations are sums, so a series never has to meet in one place; they are
-    solved by Cramer's rule.  Fewer than three times, or times that leave them singular, give null.
+    solved in closed form.  Fewer than three times, or times that leave them singular, give null.
     """
     rows = field.filter(F.col(value).isNotNull()).withColumn("period_h", F.explode(F.array(*map(F.lit, map(float, periods)))))
     angle = hours * (2 * math.pi) / F.col("period_h")
@@ -47,16 +47,13 @@ def least_squares(field: DataFrame, keys: list[str], value: str, hours: Column,
     c, s, y = F.col("_c"), F.col("_s"), F.col("_y")
     sums = {"n": F.count("*").cast("double"), "cc": total(c, c), "ss": total(s, s), "cs": total(c, s), "sc": F.sum(c), "sn": F.sum(s), "yc": total(y, c), "ys": total(y, s), "sy": F.sum(y)}
     g = rows.groupBy(*keys, "period_h").agg(*[v.alias(k) for k, v in sums.items()])
-    x = {k: F.col(k) for k in sums}
-
-    def det(a, b, c_):
-        return a[0] * (b[1] * c_[2] - b[2] * c_[1]) - a[1] * (b[0] * c_[2] - b[2] * c_[0]) + a[2] * (b[0] * c_[1] - b[1] * c_[0])
-
-    one, two, three, right = (x["cc"], x["cs"], x["sc"]), (x["cs"], x["ss"], x["sn"]), (x["sc"], x["sn"], x["n"]), (x["yc"], x["ys"], x["sy"])
-    whole = det(one, two, three)
-    usable = (F.col("n") >= 3) & (F.abs(whole) > 1e-9 * F.pow("n", F.lit(3.0)))
-    solved = lambda a, b, c_: F.when(usable, F.try_divide(det(a, b, c_), whole))
-    return g.select(*keys, "period_h", solved(right, two, three).alias("c"), solved(one, right, three).alias("s"), solved(one, two, right).alias("mean"))
+    # With the mean taken out, two equations are left.
+    n = F.col("n")
+    centred = {"_C": F.col("cc") - F.col("sc") * F.col("sc") / n, "_S": F.col("ss") - F.col("sn") * F.col("sn") / n, "_X": F.col("cs") - F.col("sc") * F.col("sn") / n, "_P": F.col("yc") - F.col("sy") * F.col("sc") / n, "_Q": F.col("ys") - F.col("sy") * F.col("sn") / n}
+    g = g.withColumns(centred).withColumn("_D", F.col("_C") * F.col("_S") - F.col("_X") * F.col("_X"))
+    usable = (n >= 3) & (F.abs("_D") > 1e-9 * n * n)
+    g = g.withColumns({"c": F.when(usable, F.try_divide(F.col("_P") * F.col("_S") - F.col("_Q") * F.col("_X"), F.col("_D"))), "s": F.when(usable, F.try_divide(F.col("_Q") * F.col("_C") - F.col("_P") * F.col("_X"), F.col("_D")))})
+    return g.select(*keys, "period_h", "c", "s", ((F.col("sy") - F.col("c") * F.col("sc") - F.col("s") * F.col("sn")) / n).alias("mean"))
 
 
 def amplitude_phase(c: Column, s: Column, m: Column | None = None, lon: Column | None = None) -> tuple[Column, Column]:
