@@ -19,6 +19,7 @@ everything if nothing was labelled.  Ties go to the first language in order of n
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 DOCS, LANGS, PIECES, PIECE = 250, 200, 4, 32
 #: Buckets of hashed features, n-gram lengths in bytes, training rounds.
 BUCKETS, GRAMS, ROUNDS = 1 << 18, (2, 3, 4), 40
-#: A worker keeps the scores of so many words; words of one forward-backward run.
-TABLE, RUN = 250_000, 400_000
+#: Characters that a worker takes up at a time, words of a forward-backward run, words whose features are found at once.
+SLICE, RUN, CHUNK = 8_000_000, 400_000, 20_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,48 +75,36 @@ class Model:
 
     def __init__(self, langs: list[str], weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.langs, self.weights, self.moves, self.start = langs, weights, moves, start
-        self.place: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)))
-
-    def __reduce__(self):
-        return Model, (self.langs, self.weights, self.moves, self.start)
-
-    def numbered(self, chains: list[list[str]]) -> np.ndarray:
-        """The place of each word's label scores in ``self.scores``, chains end to end."""
-        place = self.place
-        new = list(dict.fromkeys(w for c in chains for w in c if w not in place))
-        if len(place) + len(new) > TABLE and place:
-            place.clear()
-            self.scores = self.scores[:0]
-            new = list(dict.fromkeys(w for c in chains for w in c))
-        parts = [self.scores]
-        for at in range(0, len(new), 50_000):
-            codes, begins = features(new[at : at + 50_000])
-            parts.append(np.add.reduceat(self.weights[codes], begins, axis=0).astype(np.float64))
-        for w in new:
-            place[w] = len(place)
-        self.scores = np.concatenate(parts)
-        return np.fromiter((place[w] for c in chains for w in c), dtype=np.int64, count=sum(map(len, chains)))
-
-    def marginals(self, chains: list[list[str]]) -> np.ndarray:
-        """Label probabilities of all words, chains end to end."""
-        out = np.zeros((sum(map(len, chains)), len(self.langs)))
-        if len(out):
-            sizes = np.array([len(c) for c in chains])
-            begins = np.cumsum(sizes) - sizes
-            order = np.argsort(-sizes, kind="stable")
-            # Chains of like length run together.
-            at = 0
-            while at < len(order) and sizes[order[at]]:
-                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[order[at:]]), RUN)))
-                run = order[at:end]
-                run = run[sizes[run] > 0]
-                index = np.concatenate([np.arange(begins[i], begins[i] + sizes[i]) for i in run])
-                place = self.numbered([chains[i] for i in run])
-                out[index] = self._run(self.scores[place], sizes[run])
-                at = end
+
+    def scores(self, vocabulary: list[str]) -> np.ndarray:
+        """Label scores of words, by the sum of their features' weights."""
+        out = np.zeros((len(vocabulary), len(self.langs)))
+        for at in range(0, len(vocabulary), CHUNK):
+            codes, begins = features(vocabulary[at : at + CHUNK])
+            out[at : at + CHUNK] = np.add.reduceat(self.weights[codes], begins, axis=0)
         return out
 
+    def marginals(self, texts: Iterable[list[str]]):
+        """(places of texts, their lengths in words, label probabilities of their words end to end), run by run.
+
+        Texts of like length run together.  Words are numbered as they come, so only
+        distinct ones are held.
+        """
+        number: dict[str, int] = {}
+        chains = [np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int32) for ws in texts]
+        sizes = np.array([len(c) for c in chains], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        if not len(order):
+            return
+        table, done = self.scores(list(number)), np.cumsum(sizes[order])
+        at = 0
+        while at < len(order):
+            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + RUN, side="right")))
+            run = order[at:end]
+            yield run, sizes[run], self._run(table[np.concatenate([chains[i] for i in run])], sizes[run])
+            at = end
+
     def _run(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Forward-backward over chains in order of falling length, all at one step together."""
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # chains longer than t
@@ -145,20 +134,29 @@ class Model:
         return ahead[place]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        chains = [words(t) if self.langs else [] for t in texts]
-        sizes = np.array([len(c) for c in chains], dtype=np.int64)
-        p = self.marginals(chains)
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            mean = np.add.reduceat(p, (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some][:, None]
-            best = mean.argmax(axis=1)
-            scores[some] = np.minimum(mean[np.arange(len(some)), best], 1.0)
-            for i, b in zip(some.tolist(), best.tolist(), strict=True):
-                langs[i] = self.langs[b]
+        if not self.langs:
+            return langs, scores
+        for part in slices(texts):
+            for run, sizes, p in self.marginals(map(words, texts[part])):
+                mean = np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+                best = mean.argmax(axis=1)
+                for i, b, x in zip(run.tolist(), best.tolist(), mean[np.arange(len(run)), best].tolist(), strict=True):
+                    langs[part.start + i], scores[part.start + i] = self.langs[b], min(x, 1.0)
         return langs, scores
 
 
+def slices(texts: list[str | None]):
+    """Ranges of texts of about SLICE characters in all, or of one longer text."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > SLICE:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(t or "")
+    yield slice(begin, len(texts))
+
+
 def train(pieces: list[tuple[str, list[str]]], rounds: int = ROUNDS, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Fit to pieces of words with one language each, by gradient ascent on the chains' likelihood."""
     langs = sorted({lang for lang, ws in pieces if ws})
@@ -203,11 +201,12 @@ def _pairs(p: np.ndarray, move: np.ndarray, later: np.ndarray) -> np.ndarray:
     A pair's posterior is ``move`` scaled by rows and columns; only one such table
     has the two words' marginals, and fitting them in turn leads to it.
     """
-    table = move[None] * np.ones((len(later), 1, 1))
-    for _ in range(6):
-        table *= (p[later - 1] / np.maximum(table.sum(axis=2), 1e-300))[:, :, None]
-        table *= (p[later] / np.maximum(table.sum(axis=1), 1e-300))[:, None, :]
-    return table.sum(axis=0)
+    first, second = p[later - 1], p[later]
+    right = np.ones_like(second)
+    for _ in range(8):
+        left = first / np.maximum(right @ move.T, 1e-300)
+        right = second / np.maximum(left @ move, 1e-300)
+    return move * (left.T @ right)
 
 
 def _switched(pieces: list[tuple[int, list[str]]]) -> tuple[list[list[str]], list[np.ndarray]]:
@@ -270,8 +269,9 @@ def label_words(docs: DataFrame, model: Model, *, text: str = "text", into: str
         own, out = shared.value, []
         for t in texts:
             ws = words(t.as_py()) if own.langs else []
-            p = own.marginals([ws])
-            out.append([{"word": w, "lang": own.langs[b], "p": float(q[b])} for w, q, b in zip(ws, p, p.argmax(axis=1), strict=True)])
+            out.append([])
+            for _, _, p in own.marginals([ws]):
+                out[-1] += [{"word": w, "lang": own.langs[b], "p": float(q[b])} for w, q, b in zip(ws, p, p.argmax(axis=1), strict=True)]
         return pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())])))
 
     return docs.withColumn(into, run(F.col(text)))
