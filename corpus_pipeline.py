@@ -14,7 +14,7 @@ from zonalis.llm import bpe, decontaminate, langid, secrets, simhash
 from zonalis.llm.common import held_out, materialise
 
 #: A document whose best language has a mean probability below this is rejected.
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
