@@ -12,10 +12,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions import healpix as hp
 from zonalis.operators import harmonics as sh
+from zonalis.operators.grid import small
 
 RADIUS_M = hp.RADIUS_SPECTRAL_KM * 1000
 
@@ -173,8 +175,8 @@ def low_degree_spectrum(field: DataFrame, nside: int, keys: list[str], value: st
     rows = [(m + k, m, r + 1, float(x)) for m in range(lmax + 1) for k, own in enumerate(sh.legendre(nside, lmax, m)) for r, x in enumerate(own)]
     table = field.sparkSession.createDataFrame(rows, "l int, m int, ring long, lambda double")
     names = [value] if other is None else [value, other]
-    by = [F.mean(v).over(_slices(keys)).alias(f"_{v}") for v in names]
-    filled = field.select("*", *by).withColumns({v: F.coalesce(v, f"_{v}") for v in names})
+    means = {f"_{v}": F.mean(v).over(W.partitionBy(*keys)) for v in names}
+    filled = dense(field, nside, keys).withColumns(means).withColumns({v: F.coalesce(v, f"_{v}") for v in names})
     parts = []
     for v in names:
         own = ring_fourier(filled, nside, keys, v, list(range(lmax + 1)))
@@ -186,7 +188,9 @@ def low_degree_spectrum(field: DataFrame, nside: int, keys: list[str], value: st
     return alm.groupBy(*keys, "l").agg((F.sum(F.when(F.col("m") == 0, product).otherwise(2 * product)) / (2 * F.col("l") + 1)).alias("power"))
 
 
-def _slices(keys: list[str]):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(*keys)
+def dense(field: DataFrame, nside: int, keys: list[str]) -> DataFrame:
+    """The field with a row for every cell of every slice; values of missing cells are null."""
+    cells = field.sparkSession.range(hp.npix(nside)).withColumnRenamed("id", "cell")
+    slices = field.select(*keys).distinct() if keys else field.sparkSession.range(1).select()
+    # The product is the full field itself.
+    return slices.crossJoin(small(cells, hp.npix(nside))).join(field, [*keys, "cell"], "left")

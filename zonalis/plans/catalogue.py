@@ -472,6 +472,17 @@ def vorticity_divergence(spark, sf_dir):
     return rounded(spectral.vorticity_divergence(field(spark, sf_dir), NSIDE, ["level"]), "vorticity", "divergence", digits=10)
 
 
+@query
+def vorticity_divergence_low_l(spark, sf_dir):
+    out = spectral.vorticity_divergence(field(spark, sf_dir), NSIDE, ["level"], lmax=1)
+    return rounded(out.withColumns({c: F.col(c) * 1e6 for c in ("vorticity", "divergence")}), "vorticity", "divergence")
+
+
+@query
+def kinetic_spectrum_low_l(spark, sf_dir):
+    return rounded(spectral.spectrum(field(spark, sf_dir), NSIDE, ["level"], ["u", "v"], "kinetic", lmax=1).drop("wavelength_km"), "power", digits=5)
+
+
 @query
 def winds_from_vorticity_divergence(spark, sf_dir):
     return rounded(spectral.winds(spectral.vorticity_divergence(field(spark, sf_dir), NSIDE, ["level"]), NSIDE, ["level"]), "u", "v", digits=5)

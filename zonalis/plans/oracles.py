@@ -331,10 +331,15 @@ WITH f AS (SELECT *, {ring('cell', 2)} AS ring FROM {fit('[24.0]::DOUBLE[]')}),
 SELECT a.period_h, a.cell, {r('(a.c + b.c) / 2', 5)} AS c_sym, {r('(a.c - b.c) / 2', 5)} AS c_asy, {r('(a.s + b.s) / 2', 5)} AS s_sym, {r('(a.s - b.s) / 2', 5)} AS s_asy FROM f a JOIN m b ON a.cell = b.other"""
 
 
-def fourier(value: str, orders: str) -> str:
+#: Every cell of every level, gaps at the level's mean.
+DENSE = f"""(SELECT level, cell, u IS NULL AS gap, coalesce(u, avg(u) OVER s) AS u, coalesce(v, avg(v) OVER s) AS v
+  FROM (SELECT DISTINCT level FROM {FIELD}) CROSS JOIN (SELECT unnest(range(192)) AS cell) LEFT JOIN {FIELD} USING (level, cell) WINDOW s AS (PARTITION BY level))"""
+
+
+def fourier(value: str, orders: str, source: str = FIELD) -> str:
     return f"""
   (SELECT level, ring, m, sum({value} * cos(m * radians(t * 90))) * (CASE WHEN m = 0 THEN 1.0 ELSE 2.0 END) / sz AS a, CASE WHEN m = 0 THEN 0.0 ELSE sum({value} * sin(m * radians(t * 90))) * 2.0 / sz END AS b
-   FROM (SELECT *, {size('ring', 4)} AS sz, {turn('cell', 'ring', 4)} AS t FROM (SELECT *, {ring('cell', 4)} AS ring FROM {FIELD})), (SELECT unnest({orders}) AS m) GROUP BY level, ring, m, sz)"""
+   FROM (SELECT *, {size('ring', 4)} AS sz, {turn('cell', 'ring', 4)} AS t FROM (SELECT *, {ring('cell', 4)} AS ring FROM {source})), (SELECT unnest({orders}) AS m) GROUP BY level, ring, m, sz)"""
 
 
 SQL["ring_fourier"] = f"SELECT level, ring, m, {r('a')} AS a, {r('b')} AS b FROM {fourier('u', '[0, 1, 2, 3]')}"
@@ -346,13 +351,51 @@ def alm(value: str) -> str:
       WHEN m = 0 THEN sqrt(5 / (16 * pi())) * (3 * z * z - 1) WHEN m = 1 THEN -sqrt(15 / (8 * pi())) * z * sqrt(1 - z * z) ELSE sqrt(15 / (32 * pi())) * (1 - z * z) END"""
     return f"""
   (SELECT level, l, m, sum(a * sz * ({lam})) AS re, sum(-b * sz * ({lam})) AS im FROM (
-    SELECT *, {size('ring', 4)} / (CASE WHEN m = 0 THEN 1.0 ELSE 2.0 END) * 4 * pi() / 192 AS sz, {ring_z('ring', 4)} AS z FROM {fourier(value, '[0, 1, 2]')}), (SELECT unnest([0, 1, 2]) AS l) WHERE l >= m GROUP BY ALL)"""
+    SELECT *, {size('ring', 4)} / (CASE WHEN m = 0 THEN 1.0 ELSE 2.0 END) * 4 * pi() / 192 AS sz, {ring_z('ring', 4)} AS z FROM {fourier(value, '[0, 1, 2]', DENSE)}), (SELECT unnest([0, 1, 2]) AS l) WHERE l >= m GROUP BY ALL)"""
 
 
 SQL["power_spectrum_low_l"] = f"SELECT level, l, {r('sum((re * re + im * im) * (CASE WHEN m = 0 THEN 1 ELSE 2 END)) / (2 * l + 1)', 4)} AS power FROM {alm('u')} GROUP BY level, l"
 SQL["cross_spectrum_low_l"] = f"SELECT a.level, a.l, {r('sum((a.re * b.re + a.im * b.im) * (CASE WHEN a.m = 0 THEN 1 ELSE 2 END)) / (2 * a.l + 1)', 5)} AS power FROM {alm('u')} a JOIN {alm('v')} b ON a.level = b.level AND a.l = b.l AND a.m = b.m GROUP BY a.level, a.l"
 SQL["filter_lmax"] = f"""
 WITH c AS (SELECT level, max(CASE WHEN l = 0 THEN re END) AS c00, max(CASE WHEN l = 1 AND m = 0 THEN re END) AS c10, max(CASE WHEN l = 1 AND m = 1 THEN re END) AS c11, max(CASE WHEN l = 1 AND m = 1 THEN im END) AS d11 FROM {alm('u')} GROUP BY level)
-SELECT level, cell, {r('c00 * sqrt(1 / (4 * pi())) + c10 * sqrt(3 / (4 * pi())) * z - 2 * sqrt(3 / (8 * pi())) * sqrt(1 - z * z) * (c11 * cos(radians(lon)) - d11 * sin(radians(lon)))', 5)} AS u FROM c, {pixels(4)}"""
+SELECT level, cell, CASE WHEN NOT gap THEN {r('c00 * sqrt(1 / (4 * pi())) + c10 * sqrt(3 / (4 * pi())) * z - 2 * sqrt(3 / (8 * pi())) * sqrt(1 - z * z) * (c11 * cos(radians(lon)) - d11 * sin(radians(lon)))', 5)} END AS u FROM c JOIN (SELECT level, cell, gap FROM {DENSE}) USING (level) JOIN {pixels(4)} USING (cell)"""
+
+# Winds of degree 1 from the derivatives of three functions.
+CALM = f"(SELECT level, cell, coalesce(u, 0.0) AS u, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT level FROM {FIELD}) CROSS JOIN (SELECT unnest(range(192)) AS cell) LEFT JOIN {FIELD} USING (level, cell))"
+
+
+def wind_sums(source: str) -> str:
+    return f"""
+  (SELECT level, sum(w * (-v) * d10) / sqrt(2) AS e10, sum(w * u * d10) / sqrt(2) AS b10,
+     sum(w * ((-v) * d11 * cos(p) - u * t11 * sin(p))) / sqrt(2) AS er, sum(w * (-(-v) * d11 * sin(p) - u * t11 * cos(p))) / sqrt(2) AS ei,
+     sum(w * (u * d11 * cos(p) + (-v) * t11 * sin(p))) / sqrt(2) AS br, sum(w * (-u * d11 * sin(p) + (-v) * t11 * cos(p))) / sqrt(2) AS bi
+   FROM (SELECT level, u, v, 4 * pi() / 192 AS w, radians(lon) AS p, -sqrt(3 / (4 * pi())) * sqrt(1 - z * z) AS d10, -sqrt(3 / (8 * pi())) * z AS d11, -sqrt(3 / (8 * pi())) AS t11
+     FROM {source} JOIN {pixels(4)} USING (cell)) GROUP BY level)"""
+
+
+_scale = "(-sqrt(2) / 6371229.0)"
+_synth = "({a}10 * sqrt(3 / (4 * pi())) * z - 2 * sqrt(3 / (8 * pi())) * sqrt(1 - z * z) * ({a}r * cos(radians(lon)) - {a}i * sin(radians(lon))))"
+SQL["vorticity_divergence_low_l"] = f"""
+SELECT level, cell, CASE WHEN NOT gap THEN {r(_scale + ' * 1e6 * ' + _synth.format(a='b'))} END AS vorticity, CASE WHEN NOT gap THEN {r(_scale + ' * 1e6 * ' + _synth.format(a='e'))} END AS divergence
+FROM {wind_sums(CALM)} JOIN (SELECT level, cell, gap FROM {DENSE}) USING (level) JOIN {pixels(4)} USING (cell)"""
+SQL["kinetic_spectrum_low_l"] = f"""
+SELECT level, unnest([0, 1]) AS l, unnest([0.0::DOUBLE, {r('(e10 * e10 + 2 * (er * er + ei * ei) + b10 * b10 + 2 * (br * br + bi * bi)) / 6', 5)}]) AS power FROM {wind_sums(DENSE)}"""
+
+# A Morlet transform by the definition of the discrete Fourier transform.
+SERIES = f"""(SELECT cell, hour, coalesce(value, mean) AS value FROM (SELECT hour, avg(value) AS mean FROM {HOURLY} GROUP BY hour) CROSS JOIN (SELECT unnest(range(48)) AS cell) LEFT JOIN {HOURLY} USING (cell, hour))"""
+SQL["wavelet_spectrum"] = f"""
+WITH rings AS (
+  SELECT hour, ring, 2.0 / sz * sum(value * cos(radians(t * 90))) AS a, 2.0 / sz * sum(value * sin(radians(t * 90))) AS b, sz
+  FROM (SELECT *, {size('ring', 2)} AS sz, {turn('cell', 'ring', 2)} AS t FROM (SELECT *, {ring('cell', 2)} AS ring FROM {SERIES})) GROUP BY hour, ring, sz),
+x AS (SELECT ring, sz, n, hour, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY hour) - 1 AS n FROM rings) WINDOW w AS (PARTITION BY ring)),
+k AS (SELECT unnest(range(1, 32)) AS k),
+xh AS (SELECT ring, k, sum(a * cos(2 * pi() * k * n / 64)) AS ar, -sum(a * sin(2 * pi() * k * n / 64)) AS ai, sum(b * cos(2 * pi() * k * n / 64)) AS br, -sum(b * sin(2 * pi() * k * n / 64)) AS bi FROM x, k GROUP BY ring, k),
+s AS (SELECT 2.0 * 2 ** (j * 0.25) AS s FROM (SELECT unnest(range(CAST(floor(log2(24 / 2.0) / 0.25) AS BIGINT) + 1)) AS j)),
+d AS (SELECT s, k, sqrt(2 * pi() * s) * pi() ** -0.25 * exp(-((s * 2 * pi() * k / 64 - 6) ** 2) / 2) / 64 * sqrt(1 / s) AS d FROM s, k),
+wv AS (
+  SELECT x.ring, sz, s, x.hour, sum(d * (ar * cos(2 * pi() * k * n / 64) - ai * sin(2 * pi() * k * n / 64))) AS ar, sum(d * (ar * sin(2 * pi() * k * n / 64) + ai * cos(2 * pi() * k * n / 64))) AS ai,
+    sum(d * (br * cos(2 * pi() * k * n / 64) - bi * sin(2 * pi() * k * n / 64))) AS br, sum(d * (br * sin(2 * pi() * k * n / 64) + bi * cos(2 * pi() * k * n / 64))) AS bi
+  FROM x JOIN xh ON x.ring = xh.ring JOIN d USING (k) GROUP BY x.ring, sz, s, x.hour)
+SELECT {r('s * 4 * pi() / (6 + sqrt(38))', 5)} AS period_h, hour, {r('sum(sqrt((ar + bi) ** 2 + (br - ai) ** 2) / 2 * sz) / 48', 5)} AS west, {r('sum(sqrt((ar - bi) ** 2 + (-ai - br) ** 2) / 2 * sz) / 48', 5)} AS east FROM wv GROUP BY s, hour"""
 
 SQL["unit_conversion"] = f"SELECT level, cell, {r('u + 273.15')} AS u, {r('temp * 100')} AS temp, {r('v / 3.6')} AS v FROM {FIELD}"
