@@ -32,7 +32,7 @@ from .common import bytes_of, fresh
 WIDTH = 13
 #: A document is contaminated when hits make up one word in SHARE or more.
 SHARE = 20
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -51,55 +51,61 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The hash set of one block of the benchmark, with what verification needs."""
+    """The hash set of one block of the benchmark, with what verification needs.
+
+    A window is its hash, its item and its place among the block's words, so a block
+    takes about 20 bytes for each word beside its vocabulary.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int = WIDTH):
         self.ids: dict[bytes, int] = {}
-        #: By window length: sorted hashes, and the items of each exact window.
-        self.hashes: dict[int, np.ndarray] = {}
-        self.owners: dict[tuple[int, ...], set[str]] = {}
-        found: dict[int, set[tuple[int, ...]]] = {}
-        for item, text in items:
-            seq = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words(text))
-            n = min(len(seq), width)
-            for i in range(len(seq) - n + 1 if n else 0):
-                window = seq[i : i + n]
-                found.setdefault(n, set()).add(window)
-                self.owners.setdefault(window, set()).update([item] if item is not None else [])
-        for n, windows in found.items():
-            rows = np.array(sorted(windows), dtype=np.uint64).reshape(-1, n)
-            self.hashes[n] = np.unique(_mix(rows.T))
+        seqs = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)] for _, text in items]
+        self.names = [item for item, _ in items]
+        self.flat = np.array([x for seq in seqs for x in seq], dtype=np.uint64)
+        size = np.array([len(seq) for seq in seqs], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        #: By window length: hashes in order, and each one's item and place.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(size[size > 0], width)).tolist():
+            own = np.flatnonzero(size >= width if n == width else size == n)
+            count = size[own] - n + 1
+            item = np.repeat(own, count)
+            place = np.repeat(begin[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            hashes = _mix([self.flat[place + k] for k in range(n)])
+            order = np.argsort(hashes, kind="stable")
+            self.windows[n] = hashes[order], item[order].astype(np.int32), place[order].astype(np.int32)
 
     def scan(self, text: bytes | None) -> tuple[int, list[int], list[int], list[str]]:
         """Word count, hit intervals (end exclusive, disjoint, ascending) and the items that occur."""
         seq = words(text)
-        if not seq or not self.hashes:
+        if not seq or not self.windows:
             return len(seq), [], [], []
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in seq), dtype=np.uint64, count=len(seq))
+        # A window needs n known words in a row.
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         marks, items = None, set()
-        for n, hashes in self.hashes.items():
+        for n, (hashes, item, place) in self.windows.items():
             if len(seq) < n:
                 continue
-            # A window needs n known words in a row.
-            unknown = np.concatenate(([0], np.cumsum(ids == 0)))
             at = np.flatnonzero(unknown[n:] == unknown[:-n])
             if not len(at):
                 continue
             got = _mix([ids[at + k] for k in range(n)])
-            place = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
-            for i in at[hashes[place] == got].tolist():
-                owners = self.owners.get(tuple(ids[i : i + n].tolist()))
-                if owners is not None:
+            low, high = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
+            for i, a, b in zip(at[met := high > low].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                true = (self.flat[place[a:b, None] + np.arange(n)] == ids[i : i + n]).all(axis=1)
+                if true.any():
                     if marks is None:
                         marks = np.zeros(len(seq) + 1, dtype=np.int32)
                     marks[i] += 1
                     marks[i + n] -= 1
-                    items |= owners
+                    items.update(item[a:b][true].tolist())
         if marks is None:
             return len(seq), [], [], []
         covered = np.diff(np.concatenate(([0], (np.cumsum(marks[:-1]) > 0).astype(np.int8), [0])))
-        return len(seq), np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), sorted(items)
+        names = sorted({self.names[k] for k in items if self.names[k] is not None})
+        return len(seq), np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), names
 
 
 def _mix(columns) -> np.ndarray:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,25 +77,30 @@ def _named_chrome(attributes: dict[str, str], root: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "begin", "chrome", "article", "links", "text", "ancestors", "number")
+    """An element that is still open; links have no number of their own."""
 
-    def __init__(self, tag: str, begin: int, chrome: bool, article: int, ancestors: tuple[int, ...], number: int):
-        self.tag, self.begin, self.chrome, self.article, self.ancestors, self.number = tag, begin, chrome, article, ancestors, number
+    __slots__ = ("tag", "number", "chrome", "article", "links", "text", "parts")
+
+    def __init__(self, tag: str, number: int, chrome: bool, article: int):
+        self.tag, self.number, self.chrome, self.article = tag, number, chrome, article
         self.links = self.text = 0
+        #: What the subtree's hash is made of: texts, and hashes of the subtrees inside.
+        self.parts: list[str] = []
 
 
 class Page:
-    """Text blocks of a page, each with the subtrees that hold it, and the subtrees' hashes."""
+    """Text blocks of a page, the subtree that holds each, and the subtrees' hashes."""
 
     def __init__(self, markup: str):
-        #: (text, rank of the enclosing article mark, numbers of the enclosing subtrees)
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        #: By number: hash, and whether the subtree may be a template.
-        self.hashes: list[int] = []
-        self.removable: list[bool] = []
-        self._events: list[str] = []
+        #: (text, rank of the enclosing article mark, number of the enclosing subtree)
+        self.blocks: list[tuple[str, int, int]] = []
+        #: By number: hash (None if the subtree is no template), and the enclosing subtree.
+        self.hashes: list[int | None] = []
+        self.parents: list[int] = []
         self._stack: list[Element] = []
+        self._open_tags: Counter = Counter()
         self._pieces: list[str] = []
+        self._counted = 0
         self._read(markup)
 
     # Reading -----------------------------------------------------------------
@@ -142,7 +148,9 @@ class Page:
         elif tag not in CHROME:
             if tag == "a":
                 self._text()
-                self._stack.append(Element(tag, len(self._events), self._stack[-1].chrome, self._stack[-1].article, self._stack[-1].ancestors, -1))
+                above = self._stack[-1]
+                self._stack.append(Element(tag, above.number, above.chrome, above.article))
+                self._open_tags[tag] += 1
             return
         attributes = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
         self._open(tag, attributes)
@@ -154,11 +162,10 @@ class Page:
         mark = 3 if tag == "article" else 2 if tag == "main" or attributes.get("role") == "main" else 1 if {"content", "main-content", "article-body", "post-content", "entry-content", "article-content"} & {*names} else 0
         article = max(above.article, mark) if above else 0
         chrome = bool(above and above.chrome) or tag in CHROME or tag == "header" and not article or bool(attributes) and _named_chrome(attributes, mark >= 2 and not any(n.startswith("comment") for n in names))
-        number = len(self.hashes)
-        self.hashes.append(0)
-        self.removable.append(False)
-        self._stack.append(Element(tag, len(self._events), chrome, article, (*above.ancestors, number) if above else (number,), number))
-        self._events.append(f"<{tag}")
+        self._stack.append(Element(tag, len(self.hashes), chrome, article))
+        self._open_tags[tag] += 1
+        self.hashes.append(None)
+        self.parents.append(above.number if above else -1)
 
     def _text(self) -> None:
         """Count pending text for the link share of what is open; it stays pending."""
@@ -169,8 +176,6 @@ class Page:
             if self._stack[-1].tag == "a":
                 self._stack[-1].links += size
 
-    _counted = 0
-
     def _flush(self) -> None:
         if not self._pieces:
             return
@@ -179,47 +184,55 @@ class Page:
         text = " ".join(entities.unescape("".join(self._pieces)).split())
         self._pieces.clear()
         if text:
-            self._events.append(text)
             top = self._stack[-1]
+            top.parts.append(text)
             if not top.chrome:
-                self.blocks.append((text, top.article, top.ancestors))
+                self.blocks.append((text, top.article, top.number))
 
     def _close(self) -> None:
         top = self._stack[-1]
-        if top.number < 0:
+        link = top.tag == "a"
+        if link:
             self._text()
         else:
             self._flush()
         self._stack.pop()
-        if self._stack:
-            self._stack[-1].text += top.text
-            self._stack[-1].links += top.links
-        if top.number >= 0:
-            self._events.append(">")
-            linked = 2 * top.links >= top.text
-            # The whole page, and an article or what holds it, is no template.
-            if self._stack and top.tag not in ("article", "main") and (not top.article or linked) and len(self._events) - top.begin > 2:
-                self.removable[top.number] = True
-                own = _DIGITS.sub("0", "\x00".join(self._events[top.begin :]))
-                self.hashes[top.number] = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), 2) - (1 << 63)
+        self._open_tags[top.tag] -= 1
+        if not self._stack:
+            return
+        above = self._stack[-1]
+        above.text += top.text
+        above.links += top.links
+        if link:
+            above.parts += top.parts
+            return
+        own = _DIGITS.sub("0", "\x00".join((top.tag, *top.parts)))
+        digest = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), 2)
+        above.parts.append(f"\x01{digest:x}")
+        # An article, or what holds it, is no template; nor is prose inside one.
+        if top.parts and top.tag not in ("article", "main") and (not top.article or 2 * top.links >= top.text):
+            self.hashes[top.number] = digest - (1 << 63)
 
     def _end(self, tag: str) -> None:
         if tag in _WHOLE:
             return
         if tag == "br":
             self._pieces.append(" ")
-        if tag in BLOCK or tag in CHROME or tag == "a":
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self._stack[k].tag == tag:
-                    while len(self._stack) > k:
-                        self._close()
-                    return
-                if tag == "a" and self._stack[k].number >= 0:
-                    return
-            if tag in BLOCK:
-                self._flush()
+        if tag in BLOCK:
+            self._flush()
+        if not self._open_tags[tag]:
+            return
+        for k in range(len(self._stack) - 1, 0, -1):
+            if self._stack[k].tag == tag:
+                while len(self._stack) > k:
+                    self._close()
+                return
+            if tag == "a" and self._stack[k].tag != "a":
+                return
 
     def _end_open(self, tags: set[str], scope: set[str]) -> None:
+        if not any(self._open_tags[t] for t in tags):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k].tag in tags:
                 while len(self._stack) > k:
@@ -232,17 +245,19 @@ class Page:
 
     def subtrees(self) -> list[int]:
         """Hashes of the subtrees that may be templates, each once."""
-        return sorted({h for h, r in zip(self.hashes, self.removable, strict=True) if r})
+        return sorted({h for h in self.hashes if h is not None})
 
     def signature(self) -> int:
         longest = max((b[0] for b in self.blocks), key=len, default="")
         return xxhash.xxh64_intdigest(longest.encode("utf-8", "replace"), 3) - (1 << 63)
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
-        gone = {i for i, (h, r) in enumerate(zip(self.hashes, self.removable, strict=True)) if r and h in templates}
-        kept = [(t, mark) for t, mark, holders in self.blocks if gone.isdisjoint(holders)]
+        gone: list[bool] = []
+        for h, parent in zip(self.hashes, self.parents, strict=True):
+            gone.append(h in templates or parent >= 0 and gone[parent])
+        kept = [(t, mark) for t, mark, holder in self.blocks if not gone[holder]]
         best = max((mark for _, mark in kept), default=0)
-        return "\n\n".join(t for t, mark in kept if mark == best or best < 1)
+        return "\n\n".join(t for t, mark in kept if mark == best)
 
 
 SHAPE = T.StructType([T.StructField("signature", T.LongType()), T.StructField("subtrees", T.ArrayType(T.LongType()))])
