@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,7 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text.lower().split() if text else []) + [END]
 
 
-def token_hash(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token, 11)
+token_hash = partial(xxhash.xxh64_intdigest, seed=11)
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -62,15 +62,17 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _split_key(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A pair's part, and the 40 bits that name it inside the part."""
-    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), keys & _KEY
+    """A pair's part (there are at most 2**23), and the 40 bits that name it inside the part."""
+    return (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64), keys & _KEY
 
 
 def _place(key: np.ndarray, level: int, probe: int, bits) -> np.ndarray:
     """The place of a bit of (key, level) in a filter of ``bits`` bits."""
     x = (key + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return (x + np.uint64(probe) * ((x >> np.uint64(17)) | np.uint64(1))) % bits
+    # The halves swapped make a step that reaches all of the filter.
+    x = x + np.uint64(probe) * ((x << np.uint64(32)) | (x >> np.uint64(32)) | np.uint64(1))
+    return ((x >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -151,12 +153,11 @@ def _count_pairs(parts: int):
 
         def out() -> pa.RecordBatch:
             part, key = _split_key(np.concatenate(held), parts)
-            order = np.lexsort((key, part))
-            part, key = part[order], key[order]
-            new = np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])))
-            first = np.flatnonzero(new)
-            count = np.diff(np.concatenate((first, [len(key)]))).astype("<u4")
-            part, key = part[first], key[first].astype("<u8")
+            # One number in order of part and key; part < 2**23.
+            both = np.sort((part.astype(np.uint64) << np.uint64(40)) | key)
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+            count = np.diff(np.concatenate((first, [len(both)]))).astype("<u4")
+            part, key = (both[first] >> np.uint64(40)).astype(np.int64), (both[first] & _KEY).astype("<u8")
             cut = np.searchsorted(part, np.unique(part))
             rows = []
             for s, e in zip(cut, [*cut[1:], len(part)], strict=True):
@@ -203,7 +204,7 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     vocabulary = materialise(counted, "vocabulary")
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     ends = vocabulary.filter(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0]
-    parts = max(1, -(-(total or 0) // PART_TOKENS))
+    parts = min(1 << 23, max(1, -(-(total or 0) // PART_TOKENS)))
     pairs = texts.mapInArrow(_count_pairs(parts), "part int, packed binary")
     segments = materialise(pairs.groupBy("part").applyInArrow(_build, "part int, bytes binary, size long"), "segments")
     return Model(vocabulary, segments, parts, total or 0, distinct, ends or 0)
