@@ -19,6 +19,7 @@ from zonalis.functions import cf
 from zonalis.functions import healpix as hp
 from zonalis.operators import compare as cp
 from zonalis.operators import dynamics, extract, grid, reduce, regrid, spectral, tides, wavelet
+from zonalis.operators.interpolator import HealpixInterpolator
 from zonalis.plans import figures
 from zonalis.sources import readers, writers
 
@@ -52,18 +53,13 @@ def convert(args, spark) -> DataFrame:
         if missing:
             print(f"no column for {', '.join(missing)}", file=sys.stderr)
     values = [c for c in df.columns if c not in (*keys, "cell", "lon", "lat", "hours")]
-    args.nside = args.nside or hp.nside_for(df.select("lon", "lat").distinct().count())
     if args.ut_bins:
         z, t = F.sin(F.radians("lat")), F.pmod(F.col("lon"), F.lit(360.0)) / 90.0
+        args.nside = args.nside or 32
         return reduce.bin_swath(df, args.nside, values[0], z=z, t=t, level="level", bins=args.ut_bins, hours=F.col("hours"))
-    targets = grid.grid(spark, args.nside).select(F.col("cell_ring").alias("target"), "lon", "lat")
-    if "cell" in df.columns:
-        weights = regrid.idw_weights(df.select("cell", "lon", "lat").distinct(), targets)
-        out = regrid.apply_weights(df, weights, keys, values)
-    else:
-        out = regrid.bilinear_regular(df, targets, keys, values)
-    out = out.withColumnRenamed("target", "cell")
-    return grid.reorder(out, args.nside, "nest") if args.order == "nested" else out
+    own = HealpixInterpolator(args.nside, args.order).setup(df)
+    args.nside = own.nside
+    return own(df, keys, values)
 
 
 def _along(args, spark, targets: Callable) -> DataFrame:
@@ -85,11 +81,8 @@ def run_tides(args, spark) -> DataFrame:
     dt = cf.time_step_hours(f.df, axis) if axis == "time" else 24.0 / f.df.select(axis).distinct().count()
     out = None
     for m in dict.fromkeys(abs(m) for _, m in pairs):
-        if args.method == "sh":
-            own = wavelet.harmonic_wavelet_spectrum(f.df, f.nside, keys, axis, value, m, dt, args.dj, args.lmax)
-        else:
-            rings = spectral.ring_fourier(f.df, f.nside, [*keys, axis], value, [m])
-            own = tides.wavelet_tides(rings, f.nside, keys, axis, m, dt, [p for p, _ in pairs], args.dj, args.sym_asy)
+        rings = wavelet.harmonic_rings(f.df, f.nside, keys, axis, value, m, args.lmax) if args.method == "sh" else spectral.ring_fourier(f.df, f.nside, [*keys, axis], value, [m])
+        own = tides.wavelet_tides(rings, f.nside, keys, axis, m, dt, [p for p, _ in pairs], args.dj, args.sym_asy)
         own = own.withColumn("m", F.lit(m))
         out = own if out is None else out.unionByName(own)
     return out
@@ -149,7 +142,7 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
     def on(f: Callable) -> Callable:
         return lambda args, spark: f(args, Field(spark, args.input))
 
-    ep = (on(lambda a, f: dynamics.eliassen_palm(f.df, f.nside, [k for k in f.keys if k != "level"], mode=a.mode, time_mean="time" if a.time_mean else None)), [("--mode", {"default": "auto", "choices": ["auto", "full", "tem", "qg"]}), ("--time-mean", flag)])
+    ep = (on(lambda a, f: dynamics.eliassen_palm(f.df, f.nside, [k for k in f.keys if k != "level"], mode=a.mode, time_mean="time" if a.time_mean else None, vertical="height" if cf.is_height(f.df, "level") or a.height else "pressure", interpolate="pres" in f.df.columns and not a.height)), [("--height", flag), ("--mode", {"default": "auto", "choices": ["auto", "full", "tem", "qg"]}), ("--time-mean", flag)])
     return {
         "convert": (convert, [("--nside", {"type": int}), ("--ut-bins", {"type": int}), ("--config", {}), ("--grid", {}), ("--order", {"default": "ring", "choices": ["ring", "nested"]})]),
         "extract-lat": (lambda a, s: _along(a, s, lambda f: extract.parallel_targets(s, f.nside, a.lat, a.num_lons)), [("--lat", {"type": float, "required": True}), ("--num-lons", {"type": int})]),

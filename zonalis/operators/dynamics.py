@@ -127,6 +127,11 @@ def ep_mode(mode: str, has_vertical: bool) -> str:
     return mode if mode != "auto" else "full" if has_vertical else "tem"
 
 
+def _absolute(mode: str, field: DataFrame) -> Column:
+    """The factor of heat flux: f alone for qg, else with the mean vorticity, given as vor or from u."""
+    return F.col("f") if mode == "qg" else F.col("f") + F.col("vor") if "vor" in field.columns else F.col("f") - F.col("shear")
+
+
 def ep_flux_pressure(field: DataFrame, mode: str, keys: list[str], level: str = "level", lat: str = "lat") -> DataFrame:
     """F_phi, F_p, v_star and omega_star on pressure levels in Pa.
 
@@ -138,7 +143,7 @@ def ep_flux_pressure(field: DataFrame, mode: str, keys: list[str], level: str =
     rows = field.withColumns({"u_p": gradient(F.col("u"), F.col(level), up), "theta_p": floored(gradient(F.col("theta"), F.col(level), up)), "_ucos": F.col("u") * cos})
     shear = gradient(F.col("_ucos"), F.col(lat), across) * (180 / math.pi) / (RADIUS * cos)
     rows = rows.withColumns({"f": coriolis(F.col(lat)), "shear": shear, "flux": F.col("vpthetap") / F.col("theta_p")})
-    f_hat = F.col("f") if mode == "qg" else F.col("f") - F.col("shear")
+    f_hat = _absolute(mode, field)
     f_phi = -F.col("upvp") if mode == "qg" else F.col("u_p") * F.col("flux") - F.col("upvp")
     vertical = F.col("upomegap") if mode == "full" else F.lit(0.0)
     f_p = f_hat * F.col("flux") - vertical
@@ -161,7 +166,7 @@ def ep_flux_height(field: DataFrame, mode: str, keys: list[str], level: str = "l
     steep = F.greatest(F.col("theta_y") * F.col("theta_y") + F.col("theta_z") * F.col("theta_z"), F.lit(1e-30))
     psi = RADIUS * cos * F.col("rho") * (F.col("vpthetap") * F.col("theta_z") - heat * F.col("theta_y")) / steep
     rows = rows.withColumn("psi", psi)
-    f_hat = F.col("f") if mode == "qg" else F.col("f") - F.col("shear")
+    f_hat = _absolute(mode, field)
     turn = F.lit(0.0) if mode == "qg" else F.col("psi") * F.col("u_z")
     lift = F.col("upwp") if mode == "full" else F.lit(0.0)
     rows = rows.withColumns({"f_phi": -F.col("rho") * RADIUS * cos * F.col("upvp") + turn, "f_z": -F.col("rho") * RADIUS * cos * lift + F.col("psi") * f_hat})
@@ -200,19 +205,76 @@ def masked(ep: DataFrame, level: str = "level", least_pressure: float | None = N
     return ep.withColumns({c: F.when(ok, F.col(c)) for c in ("f_phi", "f_z", "divergence", "a_ep") if c in ep.columns})
 
 
-def eliassen_palm(field: DataFrame, nside: int, keys: list[str], level: str = "level", mode: str = "auto", time_mean: str | None = None) -> DataFrame:
-    """The chain on pressure levels: covariances of u, v, temp (and omega), flux and divergence."""
-    rows = field.withColumn("theta", potential_temperature(F.col("temp"), F.col(level)))
-    pairs = [("u", "v"), ("v", "theta")] + ([("u", "omega")] if "omega" in field.columns else [])
-    names = {"u_v": "upvp", "v_theta": "vpthetap", "u_omega": "upomegap"}
-    eddies = eddy_covariances(rows, nside, [*keys, level], pairs, ["u", "theta"]).withColumnsRenamed(names)
-    out = ep_divergence(ep_flux_pressure(eddies, mode, keys, level), keys, level)
+def with_theta(field: DataFrame, level: str, vertical: str = "pressure") -> DataFrame:
+    """Potential temperature from temp and pres, from temp and a pressure axis, or from temp and height."""
+    if "theta" in field.columns:
+        return field
+    t = F.col("temp")
+    if "pres" in field.columns:
+        theta = potential_temperature(t, F.col("pres"))
+    elif vertical == "pressure":
+        theta = potential_temperature(t, F.col(level))
+    else:
+        theta = potential_temperature_height(t, F.col(level), R_DRY * t / GRAVITY)
+    return field.withColumn("theta", theta)
+
+
+def pressure_of(temp: Column, theta: Column) -> Column:
+    return P_SURFACE * F.pow(temp / theta, F.lit(1 / KAPPA))
+
+
+def to_standard_levels(field: DataFrame, keys: list[str], values: list[str], pressure: str = "pres", level: str = "level", cell: str = "cell") -> DataFrame:
+    """Model levels to the standard pressure levels in the range of ``pressure``, linear in its logarithm."""
+    from zonalis.operators.regrid import interpolate_axis
+
+    low, high = field.agg(F.min(pressure), F.max(pressure)).first()
+    targets = [math.log(p) for p in standard_levels(low, high)]
+    out = interpolate_axis(field.filter(F.col(pressure) > 0), level, [*keys, cell], values, targets, F.log(pressure))
+    return out.withColumn(level, F.round(F.exp(level), 8))
+
+
+def eliassen_palm(field: DataFrame, nside: int, keys: list[str], level: str = "level", mode: str = "auto", time_mean: str | None = None, vertical: str = "pressure", interpolate: bool = False) -> DataFrame:
+    """The whole chain: potential temperature, covariances, flux and its divergence.
+
+    On ``vertical`` pressure (Pa) the field has u, v, temp (or theta) and may have omega, or w for it.  On height (m) it may have
+    w, and pres for the density.  With ``interpolate``, levels with a pres of their own go to
+    standard pressure levels first.
+    """
+    if interpolate:
+        field = to_standard_levels(field, keys, [c for c in ("u", "v", "w", "temp", "theta", "omega") if c in field.columns], level=level)
+        vertical = "pressure"
+    have = {"omega", "w", "temp", "pres", "vor"} & set(field.columns)
+    rows = drop_empty(with_theta(field, level, vertical), level, "u")
+    pairs = [("u", "v"), ("v", "theta")]
+    names = {"u_v": "upvp", "v_theta": "vpthetap"}
+    means = ["u", "theta", *sorted(have & {"temp", "pres", "vor"})]
+    if vertical == "pressure" and "omega" in have:
+        pairs.append(("u", "omega"))
+        names["u_omega"] = "upomegap"
+    elif "w" in have:
+        pairs += [("u", "w"), ("w", "theta")]
+        names |= {"u_w": "upwp", "w_theta": "wpthetap"}
+    eddies = eddy_covariances(rows, nside, [*keys, level], pairs, means).withColumnsRenamed(names)
+    if vertical == "pressure":
+        if "upwp" in eddies.columns and "temp" in have:
+            height = -HEIGHT * F.log(F.col(level) / P_SURFACE)
+            eddies = eddies.withColumn("upomegap", omega_from_w(F.col("upwp"), density(F.col("temp"), F.col(level)), gravity(height)))
+        out = ep_divergence(ep_flux_pressure(eddies, mode, keys, level), keys, level)
+    else:
+        rho = density(F.col("temp"), F.col("pres")) if {"temp", "pres"} <= have else density(height=F.col(level))
+        out = ep_divergence(ep_flux_height(eddies.withColumn("rho", rho), mode, keys, level), keys, level, rho="rho")
     if time_mean:
         rest = [k for k in keys if k != time_mean] + [level, "ring", "lat"]
         out = out.groupBy(*rest).agg(*[F.avg(c).alias(c) for c in out.columns if c not in (*rest, time_mean)])
     return out
 
 
+def drop_empty(field: DataFrame, level: str, value: str) -> DataFrame:
+    from zonalis.operators.extract import drop_empty_levels
+
+    return drop_empty_levels(field, level, value)
+
+
 def half_to_full(field: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
     """Means of neighbouring half levels, at the middle of each pair."""
     up = W.partitionBy(*keys).orderBy(level)

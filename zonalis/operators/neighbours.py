@@ -53,9 +53,9 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int = 1, by: list[str] |
         # Settled: as many as can be had, all inside the guard distance.
         ok = F.count("*").over(W.partitionBy(*by, "target")) >= F.least(F.lit(k), F.col("held"))
         inside = F.max("d2").over(W.partitionBy(*by, "target")) <= h * h
-        settled = ranked.withColumn("ok", ok & inside).filter("ok").select(*by, "target", "cell", "d2", "rank")
+        settled = ranked.withColumn("ok", ok & inside).filter("ok").select(*by, "target", "cell", "d2", "rank").cache()
         found = settled if found is None else found.union(settled)
-        left = left.join(settled.select(*by, "target").distinct(), [*by, "target"], "left_anti")
+        left = left.join(settled.select(*by, "target").distinct(), [*by, "target"], "left_anti").cache()
         if left.isEmpty():
             return found
         h = min(2.0, h * 2)

@@ -117,7 +117,10 @@ def _lower_gamma(a: float, x: float) -> float:
 
 
 def _grouped_power(series: DataFrame, keys: list[str], time: str, dt: float, dj: float) -> DataFrame:
-    """keys, period_h, time, west, east: amplitudes of every scale and time of (a, b) series."""
+    """keys, period_h, time, west, east, coi_h: amplitudes of every scale and time of (a, b) series.
+
+    Periods above ``coi_h`` lie in the cone of influence of the record's ends.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table[time].to_numpy(), kind="stable")
@@ -127,9 +130,10 @@ def _grouped_power(series: DataFrame, keys: list[str], time: str, dt: float, dj:
         west, _, east, _ = directions(wa, wb)
         n, k = len(order), len(period)
         made = {c: pa.array([table[c][0].as_py()] * (n * k), table[c].type) for c in keys}
-        return pa.table({**made, "period_h": pa.array(np.repeat(period, n)), time: pa.chunked_array(times.chunks * k, times.type), "west": pa.array(west.ravel()), "east": pa.array(east.ravel())})
+        reach = fourier_factor() / math.sqrt(2) * dt * np.maximum(np.minimum(np.arange(n), np.arange(n - 1, -1, -1)), 1e-5)
+        return pa.table({**made, "period_h": pa.array(np.repeat(period, n)), time: pa.chunked_array(times.chunks * k, times.type), "west": pa.array(west.ravel()), "east": pa.array(east.ravel()), "coi_h": pa.array(np.tile(reach, k))})
 
-    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), f"period_h double, {time} {series.schema[time].dataType.simpleString()}, west double, east double"])
+    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), f"period_h double, {time} {series.schema[time].dataType.simpleString()}, west double, east double, coi_h double"])
     return series.select(*keys, time, "a", "b").groupBy(*keys).applyInArrow(run, schema)
 
 
@@ -138,27 +142,46 @@ def fourier_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time
     rings = ring_fourier(field, nside, [*keys, time], value, [m])
     power = _grouped_power(rings, [*keys, "ring"], time, dt, dj)
     size = hp.ring_size(F.col("ring"), nside)
-    return power.groupBy(*keys, "period_h", time).agg(*[(F.sum(F.col(c) * size) / hp.npix(nside)).alias(c) for c in ("west", "east")])
+    return power.groupBy(*keys, "period_h", time).agg(*[(F.sum(F.col(c) * size) / hp.npix(nside)).alias(c) for c in ("west", "east")], F.max("coi_h").alias("coi_h"))
 
 
-def harmonic_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25, lmax: int | None = None, iterations: int = 3) -> DataFrame:
-    """The same from spherical harmonics: roots of summed squares over degrees, over sqrt(2 pi)."""
-    top = lmax if lmax is not None else 3 * nside - 1
-    size = hp.npix(nside)
+def _order_series(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, lmax: int | None, iterations: int, by_ring: bool) -> DataFrame:
+    """keys, time, (l or ring), a, b: the part of wavenumber m by degree, or summed up on the rings.
 
-    def coefficients(table: pa.Table) -> pa.Table:
+    The field's part of wavenumber m is a cos(m lon) + b sin(m lon).  Slices without data give no row.
+    """
+    top, size = lmax if lmax is not None else 3 * nside - 1, hp.npix(nside)
+    name = "ring" if by_ring else "l"
+
+    def run(table: pa.Table) -> pa.Table:
         full = np.full(size, np.nan)
         full[table["cell"].to_numpy()] = table[value].to_numpy().astype(float)
         gap = ~np.isfinite(full)
-        made = {k: pa.array([table[k][0].as_py()] * (top + 1 - m), table[k].type) for k in [*keys, time]}
-        if gap.all():
-            a = b = np.full(top + 1 - m, np.nan)
-        else:
+        a = b = place = np.empty(0)
+        if not gap.all():
             alm = sh.analysis(np.where(gap, full[~gap].mean(), full), nside, top, iterations)[m:, m]
-            a, b = (2 * alm.real, -2 * alm.imag) if m else (alm.real, 0 * alm.real)
-        return pa.table({**made, "l": pa.array(np.arange(m, top + 1, dtype=np.int32)), "a": pa.array(a, from_pandas=True), "b": pa.array(b, from_pandas=True)})
+            a, b, place = (2 * alm.real, -2 * alm.imag, np.arange(m, top + 1)) if m else (alm.real, 0 * alm.real, np.arange(top + 1))
+            if by_ring:
+                own = sh.legendre(nside, top, m)
+                a, b, place = a @ own, b @ own, np.arange(1, own.shape[1] + 1)
+        made = {k: pa.array([table[k][0].as_py()] * len(a), table[k].type) for k in [*keys, time]}
+        return pa.table({**made, name: pa.array(place, pa.int64()), "a": pa.array(a, pa.float64()), "b": pa.array(b, pa.float64())})
+
+    schema = ", ".join([*(f"{k} {field.schema[k].dataType.simpleString()}" for k in [*keys, time]), f"{name} long, a double, b double"])
+    return field.select(*keys, time, F.col("cell").cast("long").alias("cell"), F.col(value).cast("double").alias(value)).groupBy(*keys, time).applyInArrow(run, schema)
 
-    schema = ", ".join([*(f"{k} {field.schema[k].dataType.simpleString()}" for k in [*keys, time]), "l int, a double, b double"])
-    series = field.select(*keys, time, "cell", value).groupBy(*keys, time).applyInArrow(coefficients, schema).filter("a is not null")
+
+def harmonic_rings(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, lmax: int | None = None, iterations: int = 3) -> DataFrame:
+    """keys, time, ring, m, a, b as ring_fourier gives them, but from spherical harmonics up to ``lmax``.
+
+    The wavelet transform is linear, so transforms of these series are those of
+    the degrees, summed up on the rings.
+    """
+    return _order_series(field, nside, keys, time, value, m, lmax, iterations, True).withColumn("m", F.lit(m))
+
+
+def harmonic_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25, lmax: int | None = None, iterations: int = 3) -> DataFrame:
+    """The same from spherical harmonics: roots of summed squares over degrees, over sqrt(2 pi)."""
+    series = _order_series(field, nside, keys, time, value, m, lmax, iterations, False)
     power = _grouped_power(series, [*keys, "l"], time, dt, dj)
-    return power.groupBy(*keys, "period_h", time).agg(*[(F.sqrt(F.sum(F.col(c) * F.col(c))) / math.sqrt(2 * math.pi)).alias(c) for c in ("west", "east")])
+    return power.groupBy(*keys, "period_h", time).agg(*[(F.sqrt(F.sum(F.col(c) * F.col(c))) / math.sqrt(2 * math.pi)).alias(c) for c in ("west", "east")], F.max("coi_h").alias("coi_h"))

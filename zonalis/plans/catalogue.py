@@ -17,7 +17,7 @@ from zonalis.functions import healpix as hp
 from zonalis.functions import units
 from zonalis.operators import compare as cp
 from zonalis.operators import dynamics as dy
-from zonalis.operators import extract, grid, reduce, regrid, spectral, tides, wavelet
+from zonalis.operators import extract, grid, interpolator, reduce, regrid, spectral, tides, wavelet
 from zonalis.plans import oracles
 
 NSIDE = 4
@@ -506,14 +506,33 @@ def tide_wavelet(spark, sf_dir):
     return rounded(tides.wavelet_tides(rings, 2, [], "hour", 1, 1.0, [24.0, 12.0]), "scale_period_h", "west_amplitude", "west_phase", "east_amplitude", "east_phase", digits=5)
 
 
+@query
+def tide_wavelet_harmonic(spark, sf_dir):
+    rings = wavelet.harmonic_rings(series(spark, sf_dir), 2, [], "hour", "value", 1, lmax=4)
+    return rounded(tides.wavelet_tides(rings, 2, [], "hour", 1, 1.0, [24.0, 12.0]), "scale_period_h", "west_amplitude", "west_phase", "east_amplitude", "east_phase", digits=5)
+
+
+@query
+def eliassen_palm_chain(spark, sf_dir):
+    rows = field(spark, sf_dir).withColumns({"level": 100000.0 / F.col("level"), "v": F.col("v") * 100, "temp": 200 + F.col("temp") / 1000, "omega": F.col("omega") - 0.05})
+    out = dy.eliassen_palm(rows, NSIDE, [])
+    return out.select(F.round("level", 4).alias("level"), "ring", F.round(F.col("f_phi") / 1e6, 3).alias("f_phi"), F.round("divergence", 2).alias("divergence"))
+
+
+@query
+def interpolate_unstructured(spark, sf_dir):
+    source = gappy(spark, sf_dir).join(F.broadcast(points(spark)), "cell")  # 192 cells
+    return rounded(interpolator.HealpixInterpolator(8, radius=0.12).setup(source)(source, ["level"], ["u", "temp"]), "u", "temp")
+
+
 @query
 def wavelet_spectrum(spark, sf_dir):
-    return rounded(wavelet.fourier_wavelet_spectrum(series(spark, sf_dir), 2, [], "hour", "value", 1, 1.0), "west", "east", "period_h", digits=5)
+    return rounded(wavelet.fourier_wavelet_spectrum(series(spark, sf_dir), 2, [], "hour", "value", 1, 1.0), "west", "east", "period_h", "coi_h", digits=5)
 
 
 @query
 def harmonic_wavelet_spectrum(spark, sf_dir):
-    return rounded(wavelet.harmonic_wavelet_spectrum(series(spark, sf_dir), 2, [], "hour", "value", 1, 1.0, lmax=4), "west", "east", "period_h", digits=5)
+    return rounded(wavelet.harmonic_wavelet_spectrum(series(spark, sf_dir), 2, [], "hour", "value", 1, 1.0, lmax=4), "west", "east", "period_h", "coi_h", digits=5)
 
 
 # Units ------------------------------------------------------------------------

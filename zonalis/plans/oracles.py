@@ -174,6 +174,7 @@ near AS (SELECT * FROM (SELECT target, cell, d2, row_number() OVER (PARTITION BY
 w AS (SELECT target, cell, raw / sum(raw) OVER (PARTITION BY target) AS w FROM (SELECT *, 1 / greatest(sqrt(d2), 1e-12) ** 2 AS raw FROM near))
 SELECT level, target, {r('CASE WHEN count(u) = 3 THEN sum(u * w) END')} AS u, {r('CASE WHEN count(temp) = 3 THEN sum(temp * w) END')} AS temp
 FROM {GAPPY} JOIN w USING (cell) GROUP BY level, target"""
+SQL["interpolate_unstructured"] = SQL["knn_idw"].replace("level, target,", "level, target AS cell,", 1)
 SQL["gap_fill_space"] = f"""
 WITH f AS (SELECT level, cell, u, {vector('lon', 'lat')} FROM {GAPPY} JOIN {pixels(4)} USING (cell)),
 best AS (SELECT a.level, a.cell, first(b.u ORDER BY round((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.zz - b.zz) ** 2, 12), b.cell) AS filled FROM f a JOIN f b ON a.level = b.level AND a.u IS NULL AND b.u IS NOT NULL GROUP BY ALL)
@@ -393,9 +394,9 @@ xh AS (SELECT ring, k, sum(a * cos(2 * pi() * k * n / 64)) AS ar, -sum(a * sin(2
 s AS (SELECT 2.0 * 2 ** (j * 0.25) AS s FROM (SELECT unnest(range(CAST(floor(log2(24 / 2.0) / 0.25) AS BIGINT) + 1)) AS j)),
 d AS (SELECT s, k, sqrt(2 * pi() * s) * pi() ** -0.25 * exp(-((s * 2 * pi() * k / 64 - 6) ** 2) / 2) / 64 * sqrt(1 / s) AS d FROM s, k),
 wv AS (
-  SELECT x.ring, sz, s, x.hour, sum(d * (ar * cos(2 * pi() * k * n / 64) - ai * sin(2 * pi() * k * n / 64))) AS ar, sum(d * (ar * sin(2 * pi() * k * n / 64) + ai * cos(2 * pi() * k * n / 64))) AS ai,
+  SELECT x.ring, sz, s, x.hour, x.n, sum(d * (ar * cos(2 * pi() * k * n / 64) - ai * sin(2 * pi() * k * n / 64))) AS ar, sum(d * (ar * sin(2 * pi() * k * n / 64) + ai * cos(2 * pi() * k * n / 64))) AS ai,
     sum(d * (br * cos(2 * pi() * k * n / 64) - bi * sin(2 * pi() * k * n / 64))) AS br, sum(d * (br * sin(2 * pi() * k * n / 64) + bi * cos(2 * pi() * k * n / 64))) AS bi
-  FROM x JOIN xh ON x.ring = xh.ring JOIN d USING (k) GROUP BY x.ring, sz, s, x.hour)
-SELECT {r('s * 4 * pi() / (6 + sqrt(38))', 5)} AS period_h, hour, {r('sum(sqrt((ar + bi) ** 2 + (br - ai) ** 2) / 2 * sz) / 48', 5)} AS west, {r('sum(sqrt((ar - bi) ** 2 + (-ai - br) ** 2) / 2 * sz) / 48', 5)} AS east FROM wv GROUP BY s, hour"""
+  FROM x JOIN xh ON x.ring = xh.ring JOIN d USING (k) GROUP BY x.ring, sz, s, x.hour, x.n)
+SELECT {r('s * 4 * pi() / (6 + sqrt(38))', 5)} AS period_h, hour, {r('sum(sqrt((ar + bi) ** 2 + (br - ai) ** 2) / 2 * sz) / 48', 5)} AS west, {r('sum(sqrt((ar - bi) ** 2 + (-ai - br) ** 2) / 2 * sz) / 48', 5)} AS east, {r('4 * pi() / (6 + sqrt(38)) / sqrt(2) * greatest(least(n, 23 - n), 1e-5)', 5)} AS coi_h FROM wv GROUP BY s, hour, n"""
 
 SQL["unit_conversion"] = f"SELECT level, cell, {r('u + 273.15')} AS u, {r('temp * 100')} AS temp, {r('v / 3.6')} AS v FROM {FIELD}"
