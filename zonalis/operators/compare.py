@@ -19,12 +19,12 @@ def _valid(*columns: str) -> Column:
 
 
 def scalar_statistics(ref: str, cmp: str) -> list[Column]:
-    """Aggregates over rows whose two values are finite; null with fewer than two rows."""
-    d, ok = F.col(cmp) - F.col(ref), F.count("*") > 1
+    """Aggregates over rows where both values are present; null with fewer than two of them."""
+    d, ok = F.col(cmp) - F.col(ref), F.count(ref) > 1
     mean2, bias = F.avg(d * d), F.avg(d)
     spread = F.sqrt(F.var_pop(ref)) * F.sqrt(F.var_pop(cmp))
     columns = {
-        "n": F.count("*"), "bias": F.when(ok, bias), "rmse": F.when(ok, F.sqrt(mean2)), "crmse": F.when(ok, F.sqrt(F.greatest(F.lit(0.0), mean2 - bias * bias))),
+        "n": F.count(ref), "bias": F.when(ok, bias), "rmse": F.when(ok, F.sqrt(mean2)), "crmse": F.when(ok, F.sqrt(F.greatest(F.lit(0.0), mean2 - bias * bias))),
         "mae": F.when(ok, F.avg(F.abs(d))), "r": F.when(ok & (spread > 0), F.try_divide(F.covar_pop(ref, cmp), spread)), "sigma_ref": F.when(ok, F.stddev_samp(ref)),
         "sigma_cmp": F.when(ok, F.stddev_samp(cmp)), "skill": F.when(ok, 1 - F.try_divide(mean2, F.var_samp(ref))),
     }
@@ -57,6 +57,18 @@ def by_level(pairs: DataFrame, statistics: list[Column], level: str | None, *col
     return grouped.agg(F.grouping(level).alias("_all"), *statistics).withColumn("level", F.when(F.col("_all") == 0, F.col(level))).drop("_all", *([level] if level != "level" else []))
 
 
+def _all_scalars(pairs: DataFrame, variables: list[str], level: str | None) -> DataFrame:
+    """Statistics of several variables in one pass: a row for each variable, then grouping sets."""
+    one = lambda v: F.struct(F.lit(v).alias("variable"), *[F.when(_valid(f"{v}_ref", f"{v}_cmp"), F.col(f"{v}_{k}")).alias(k) for k in ("ref", "cmp")])
+    rows = pairs.select(*([F.col(level).alias("level")] if level else []), F.explode(F.array(*map(one, variables))).alias("p")).select(*(["level"] if level else []), "p.*")
+    statistics = scalar_statistics("ref", "cmp")
+    if not level:
+        return rows.groupBy("variable").agg(*statistics).withColumn("level", F.lit(None).cast("double"))
+    sets = [[F.col("variable"), F.col("level")], [F.col("variable")]]
+    grouped = rows.groupingSets(sets, F.col("variable"), F.col("level")).agg(F.grouping("level").alias("_all"), *statistics)
+    return grouped.withColumn("level", F.when(F.col("_all") == 0, F.col("level"))).drop("_all")
+
+
 def align_time(ref: DataFrame, cmp: DataFrame, time: str = "time") -> tuple[DataFrame, DataFrame]:
     """Both data sets at their common times; none in common is an error."""
     common = ref.select(time).distinct().intersect(cmp.select(time).distinct())
@@ -104,9 +116,8 @@ def compare(ref: DataFrame, cmp: DataFrame, variables: list[str], *, nside: int,
     for v, factor in (scale or {}).items():
         pairs = pairs.withColumns({f"{v}_ref": F.col(f"{v}_ref") * factor, f"{v}_cmp": F.col(f"{v}_cmp") * factor})
     parts = []
-    for v in variables:
-        if not vector or v not in vector:
-            parts.append(by_level(pairs, scalar_statistics(f"{v}_ref", f"{v}_cmp"), level, f"{v}_ref", f"{v}_cmp").withColumn("variable", F.lit(v)))
+    if scalars := [v for v in variables if not vector or v not in vector]:
+        parts.append(_all_scalars(pairs, scalars, level))
     if vector:
         u, v = vector
         names = (f"{u}_ref", f"{v}_ref", f"{u}_cmp", f"{v}_cmp")
