@@ -53,6 +53,7 @@ NAMES = frozenset(
     " sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond share sharing social related recommended popup modal"
     " overlay login paywall pagination pager widget widgets toolbar skip copyright contentinfo complementary search".split()
 )
+_CONTENT = frozenset("content main-content article-body post-content entry-content article-content".split())
 NEGATIONS = frozenset("with has no without is not".split())
 SITE_HEADERS = frozenset("header site-header page-header top-header siteheader pageheader".split())
 #: What an element ends that is still open.
@@ -79,11 +80,13 @@ def _named_chrome(attributes: dict[str, str], root: bool) -> bool:
 class Element:
     """An element that is still open; links have no number of their own."""
 
-    __slots__ = ("tag", "number", "chrome", "article", "links", "text", "parts")
+    __slots__ = ("tag", "number", "chrome", "article", "links", "text", "parts", "prose")
 
     def __init__(self, tag: str, number: int, chrome: bool, article: int):
         self.tag, self.number, self.chrome, self.article = tag, number, chrome, article
         self.links = self.text = 0
+        #: Whether it holds text of an article; then it is no template and needs no hash.
+        self.prose = False
         #: What the subtree's hash is made of: texts, and hashes of the subtrees inside.
         self.parts: list[str] = []
 
@@ -158,10 +161,13 @@ class Page:
     def _open(self, tag: str, attributes: dict[str, str]) -> None:
         self._flush()
         above = self._stack[-1] if self._stack else None
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-        mark = 3 if tag == "article" else 2 if tag == "main" or attributes.get("role") == "main" else 1 if {"content", "main-content", "article-body", "post-content", "entry-content", "article-content"} & {*names} else 0
+        mark, named = 3 if tag == "article" else 2 if tag == "main" else 0, False
+        if attributes:
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+            mark = mark or (2 if attributes.get("role") == "main" else 1 if not _CONTENT.isdisjoint(names) else 0)
+            named = _named_chrome(attributes, mark >= 2 and not any(n.startswith("comment") for n in names))
         article = max(above.article, mark) if above else 0
-        chrome = bool(above and above.chrome) or tag in CHROME or tag == "header" and not article or bool(attributes) and _named_chrome(attributes, mark >= 2 and not any(n.startswith("comment") for n in names))
+        chrome = named or tag in CHROME or bool(above and above.chrome) or tag == "header" and not article
         self._stack.append(Element(tag, len(self.hashes), chrome, article))
         self._open_tags[tag] += 1
         self.hashes.append(None)
@@ -206,11 +212,13 @@ class Page:
         if link:
             above.parts += top.parts
             return
+        if top.prose or top.tag in ("article", "main") or top.article and 2 * top.links < top.text:
+            above.prose = True
+            return
         own = _DIGITS.sub("0", "\x00".join((top.tag, *top.parts)))
         digest = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), 2)
         above.parts.append(f"\x01{digest:x}")
-        # An article, or what holds it, is no template; nor is prose inside one.
-        if top.parts and top.tag not in ("article", "main") and (not top.article or 2 * top.links >= top.text):
+        if top.parts:
             self.hashes[top.number] = digest - (1 << 63)
 
     def _end(self, tag: str) -> None:
