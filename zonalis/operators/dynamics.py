@@ -53,22 +53,37 @@ def eddy_covariances(field: DataFrame, nside: int, keys: list[str], pairs: list[
     return out.select(*by, F.degrees(F.asin(hp.ring_z(F.col("ring"), nside))).alias("lat"), *means, *products)
 
 
-def gradient(value: Column, axis: Column, window) -> Column:
-    """Second-order derivative on an uneven axis, one-sided at the ends; null beside a missing value."""
-    x = {k: F.lag(axis, -k).over(window) if k < 0 else F.lead(axis, k).over(window) if k else axis for k in (-2, -1, 0, 1, 2)}
-    x.update({k: F.lag(axis, -k).over(window) for k in (-2, -1)})
-    f = {k: F.lead(value, k).over(window) if k > 0 else F.lag(value, -k).over(window) if k else value for k in (-2, -1, 0, 1, 2)}
-    a, b = x[0] - x[-1], x[1] - x[0]
-    inner = (a * a * f[1] + (b * b - a * a) * f[0] - b * b * f[-1]) / (a * b * (a + b))
-    c = x[2] - x[1]
-    first = -(2 * b + c) / (b * (b + c)) * f[0] + (b + c) / (b * c) * f[1] - b / (c * (b + c)) * f[2]
-    d = x[-1] - x[-2]
-    last = a / (d * (a + d)) * f[-2] - (a + d) / (a * d) * f[-1] + (2 * a + d) / (a * (a + d)) * f[0]
-    return F.when(x[-1].isNull(), first).when(x[1].isNull(), last).otherwise(inner)
+def with_gradients(field: DataFrame, axis: str, keys: list[str], values: dict[str, Column], scale: float = 1.0) -> DataFrame:
+    """Second-order derivatives, times ``scale``, of the columns ``values`` along an uneven axis.
+
+    They are one-sided at the ends, and null beside a missing value.  All share one window, and each
+    neighbour is looked up once.
+    """
+    w = W.partitionBy(*keys).orderBy(axis)
+    shift = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    own = {f"_f{i}_0": c for i, c in enumerate(values.values())}
+    steps = {-2: "b2", -1: "b1", 1: "a1", 2: "a2"}
+    near = {f"_x_{n}": shift(F.col(axis), k) for k, n in steps.items()}
+    near |= {f"_f{i}_{n}": shift(F.col(f"_f{i}_0"), k) for i in range(len(values)) for k, n in steps.items()}
+    rows = field.withColumns(own).withColumns(near)
+    x = {0: F.col(axis), **{k: F.col(f"_x_{n}") for k, n in steps.items()}}
+    a, b, c, d = x[0] - x[-1], x[1] - x[0], x[2] - x[1], x[-1] - x[-2]
+    out = {}
+    for i, name in enumerate(values):
+        f = {0: F.col(f"_f{i}_0"), **{k: F.col(f"_f{i}_{n}") for k, n in steps.items()}}
+        inner = (a * a * f[1] + (b * b - a * a) * f[0] - b * b * f[-1]) / (a * b * (a + b))
+        first = -(2 * b + c) / (b * (b + c)) * f[0] + (b + c) / (b * c) * f[1] - b / (c * (b + c)) * f[2]
+        last = a / (d * (a + d)) * f[-2] - (a + d) / (a * d) * f[-1] + (2 * a + d) / (a * (a + d)) * f[0]
+        out[name] = F.when(x[-1].isNull(), first).when(x[1].isNull(), last).otherwise(inner) * scale
+    return rows.withColumns(out).drop(*own, *near)
 
 
 def with_gradient(field: DataFrame, value: str, axis: str, keys: list[str], into: str) -> DataFrame:
-    return field.withColumn(into, gradient(F.col(value), F.col(axis), W.partitionBy(*keys).orderBy(axis)))
+    return with_gradients(field, axis, keys, {into: F.col(value)})
+
+
+#: Derivatives by degrees of latitude to derivatives by radians.
+PER_DEGREE = 180 / math.pi
 
 
 def potential_temperature(t: Column, p: Column) -> Column:
@@ -138,18 +153,17 @@ def ep_flux_pressure(field: DataFrame, mode: str, keys: list[str], level: str =
     Needs u, theta, upvp, vpthetap and, for mode full, upomegap.
     """
     mode = ep_mode(mode, "upomegap" in field.columns)
-    up, across = W.partitionBy(*keys, lat).orderBy(level), W.partitionBy(*keys, level).orderBy(lat)
     cos = F.cos(F.radians(lat))
-    rows = field.withColumns({"u_p": gradient(F.col("u"), F.col(level), up), "theta_p": floored(gradient(F.col("theta"), F.col(level), up)), "_ucos": F.col("u") * cos})
-    shear = gradient(F.col("_ucos"), F.col(lat), across) * (180 / math.pi) / (RADIUS * cos)
-    rows = rows.withColumns({"f": coriolis(F.col(lat)), "shear": shear, "flux": F.col("vpthetap") / F.col("theta_p")})
+    rows = with_gradients(field, level, [*keys, lat], {"u_p": F.col("u"), "theta_p": F.col("theta")})
+    rows = with_gradients(rows, lat, [*keys, level], {"shear": F.col("u") * cos}, PER_DEGREE / RADIUS)
+    rows = rows.withColumns({"f": coriolis(F.col(lat)), "shear": F.col("shear") / cos, "flux": F.col("vpthetap") / floored(F.col("theta_p"))})
     f_hat = _absolute(mode, field)
     f_phi = -F.col("upvp") if mode == "qg" else F.col("u_p") * F.col("flux") - F.col("upvp")
     vertical = F.col("upomegap") if mode == "full" else F.lit(0.0)
-    f_p = f_hat * F.col("flux") - vertical
-    rows = rows.withColumns({"f_phi": RADIUS * cos * f_phi, "f_z": RADIUS * cos * f_p, "_fluxcos": F.col("flux") * cos})
-    residual = {"v_star": -gradient(F.col("flux"), F.col(level), up), "w_star": gradient(F.col("_fluxcos"), F.col(lat), across) * (180 / math.pi) / (RADIUS * cos)}
-    return rows.withColumns(residual).drop("_ucos", "_fluxcos", "shear", "flux", "f", "u_p", "theta_p")
+    rows = rows.withColumns({"f_phi": RADIUS * cos * f_phi, "f_z": RADIUS * cos * (f_hat * F.col("flux") - vertical)})
+    rows = with_gradients(rows, level, [*keys, lat], {"v_star": -F.col("flux")})
+    rows = with_gradients(rows, lat, [*keys, level], {"w_star": F.col("flux") * cos}, PER_DEGREE / RADIUS)
+    return rows.withColumn("w_star", F.col("w_star") / cos).drop("shear", "flux", "f", "u_p", "theta_p")
 
 
 def ep_flux_height(field: DataFrame, mode: str, keys: list[str], level: str = "level", lat: str = "lat") -> DataFrame:
@@ -157,20 +171,18 @@ def ep_flux_height(field: DataFrame, mode: str, keys: list[str], level: str = "l
     and wpthetap and upwp for mode full.
     """
     mode = ep_mode(mode, "upwp" in field.columns)
-    up, across = W.partitionBy(*keys, lat).orderBy(level), W.partitionBy(*keys, level).orderBy(lat)
     cos = F.cos(F.radians(lat))
-    rows = field.withColumns({"u_z": gradient(F.col("u"), F.col(level), up), "theta_z": floored(gradient(F.col("theta"), F.col(level), up)), "_ucos": F.col("u") * cos, "theta_y": gradient(F.col("theta"), F.col(lat), across) * (180 / math.pi) / RADIUS})
-    shear = gradient(F.col("_ucos"), F.col(lat), across) * (180 / math.pi) / (RADIUS * cos)
-    rows = rows.withColumns({"f": coriolis(F.col(lat)), "shear": shear})
+    rows = with_gradients(field, level, [*keys, lat], {"u_z": F.col("u"), "theta_z": F.col("theta")})
+    rows = with_gradients(rows, lat, [*keys, level], {"shear": F.col("u") * cos, "theta_y": F.col("theta")}, PER_DEGREE / RADIUS)
+    rows = rows.withColumns({"f": coriolis(F.col(lat)), "shear": F.col("shear") / cos, "theta_z": floored(F.col("theta_z"))})
     heat = F.col("wpthetap") if mode == "full" and "wpthetap" in field.columns else F.lit(0.0)
     steep = F.greatest(F.col("theta_y") * F.col("theta_y") + F.col("theta_z") * F.col("theta_z"), F.lit(1e-30))
-    psi = RADIUS * cos * F.col("rho") * (F.col("vpthetap") * F.col("theta_z") - heat * F.col("theta_y")) / steep
-    rows = rows.withColumn("psi", psi)
+    rows = rows.withColumn("psi", RADIUS * cos * F.col("rho") * (F.col("vpthetap") * F.col("theta_z") - heat * F.col("theta_y")) / steep)
     f_hat = _absolute(mode, field)
     turn = F.lit(0.0) if mode == "qg" else F.col("psi") * F.col("u_z")
     lift = F.col("upwp") if mode == "full" else F.lit(0.0)
     rows = rows.withColumns({"f_phi": -F.col("rho") * RADIUS * cos * F.col("upvp") + turn, "f_z": -F.col("rho") * RADIUS * cos * lift + F.col("psi") * f_hat})
-    return rows.drop("_ucos", "shear", "f", "u_z", "theta_z", "theta_y")
+    return rows.drop("shear", "f", "u_z", "theta_z", "theta_y")
 
 
 def ep_divergence(flux: DataFrame, keys: list[str], level: str = "level", lat: str = "lat", rho: str | None = None, edge: bool = True) -> DataFrame:
@@ -179,20 +191,19 @@ def ep_divergence(flux: DataFrame, keys: list[str], level: str = "level", lat: s
     ``rho`` names the density on heights; without it the axis is pressure.  With ``edge``, points next to
     one without a divergence, in level or latitude, lose theirs.
     """
-    up, across = W.partitionBy(*keys, lat).orderBy(level), W.partitionBy(*keys, level).orderBy(lat)
     cos = F.cos(F.radians(lat))
-    rows = flux.withColumn("_fcos", F.col("f_phi") * cos)
-    sideways = gradient(F.col("_fcos"), F.col(lat), across) * (180 / math.pi) / (RADIUS * cos)
-    rows = rows.withColumns({"_side": sideways, "_up": gradient(F.col("f_z"), F.col(level), up)}).withColumn("divergence", F.col("_side") + F.col("_up"))
+    rows = with_gradients(flux, lat, [*keys, level], {"_side": F.col("f_phi") * cos}, PER_DEGREE / RADIUS)
+    rows = with_gradients(rows, level, [*keys, lat], {"_up": F.col("f_z")})
+    rows = rows.withColumn("divergence", F.col("_side") / cos + F.col("_up"))
     if edge:
         beside = F.lit(False)
-        for w in (up, across):
+        for w in (W.partitionBy(*keys, lat).orderBy(level), W.partitionBy(*keys, level).orderBy(lat)):
             for shift in (F.lag, F.lead):
                 inside = shift(F.lit(1)).over(w).isNotNull()
                 beside = beside | (inside & shift("divergence").over(w).isNull())
         rows = rows.withColumn("_gap", beside).withColumn("divergence", F.when(~F.col("_gap"), F.col("divergence"))).drop("_gap")
     mass = F.col(rho) if rho else F.lit(1.0)
-    return rows.withColumn("a_ep", F.col("divergence") / (mass * RADIUS * cos) * DAY).drop("_fcos", "_side", "_up")
+    return rows.withColumn("a_ep", F.col("divergence") / (mass * RADIUS * cos) * DAY).drop("_side", "_up")
 
 
 def masked(ep: DataFrame, level: str = "level", least_pressure: float | None = None, greatest_height: float | None = None) -> DataFrame:
