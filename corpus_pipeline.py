@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.llm import bpe, decontaminate, langid, secrets, simhash
-from zonalis.llm.common import held_out, materialise
+from zonalis.llm.common import fresh, held_out, materialise
 
 #: A document whose best language has a mean probability below this is rejected.
 LEAST_LANGUAGE = 0.3
@@ -20,8 +20,9 @@ LEAST_LANGUAGE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from those that are not held out."""
     model = langid.fit(docs.filter(~held_out("doc_id", 4, 2)))
-    found = langid.predict(docs, model, into="language_found")
-    known = (F.col("language_found.lang_pred") != langid.UNKNOWN) & (F.col("language_found.score") >= LEAST_LANGUAGE)
+    into = fresh(docs, "language_found")
+    found = langid.predict(docs, model, into=into)
+    known = (F.col(f"{into}.lang_pred") != langid.UNKNOWN) & (F.col(f"{into}.score") >= LEAST_LANGUAGE)
     return found.filter(known).select(*docs.columns)
 
 

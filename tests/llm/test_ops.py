@@ -54,8 +54,8 @@ def test_separator_scan_at_any_block_size(spark, tmp_path):
             at = end + 1
         if at < len(ids):
             expected.append((name, ids.count(50256), at, len(ids) - at, False))
-    for block in (2, 10, 1000, 1 << 20):
-        got = token_counts.count_tokens(spark, f"file://{tmp_path}/f", separator=50256, block=block).collect()
+    for block, ranged in ((2, None), (10, False), (1000, True), (1 << 20, False)):
+        got = token_counts.count_tokens(spark, f"file://{tmp_path}/f", separator=50256, block=block, ranged=ranged).collect()
         assert sorted((r["path"].rsplit("/", 1)[1], r["doc_index"], r["first_token"], r["n_tokens"], r["terminated"]) for r in got) == sorted(expected)
 
 

@@ -3,6 +3,7 @@
 import re
 
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import DATA
@@ -47,3 +48,19 @@ def test_run_is_the_stages_one_after_the_other(spark):
                 out += text[at:s] + "[secret]"
             at = max(at, e)
         assert got[i]["ids"] == library.encode(out + text[at:], add_special_tokens=False).ids and got[i]["n_tokens"] == len(got[i]["ids"])
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark):
+    rows = [(1, None, "en"), (2, "", None), (3, "long " * 30_000, "en"), (None, "no id at all here", "en"), (5, "twice the same text here", "en"), (5, "twice the same text here", "en"), (6, "12345 !!!", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "language_found": F.lit("own"), "found": F.lit("own"), "fp": F.lit("own")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert out.filter("language_found <> 'own' or found <> 'own' or fp <> 'own'").isEmpty()
+        docs = out
+    assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 3, 5]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 3
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, DATA)
+    assert nothing.count() == 0

@@ -80,13 +80,17 @@ def _scanner(width: int, separator: int, ranged: bool):
     return run
 
 
-def count_tokens(spark: SparkSession, path: str, *, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """One row per document: path, doc_index in the file, first_token, n_tokens and terminated."""
+def count_tokens(spark: SparkSession, path: str, *, separator: int, width: int = 2, block: int = BLOCK, ranged: bool | None = None) -> DataFrame:
+    """One row per document: path, doc_index in the file, first_token, n_tokens and terminated.
+
+    ``ranged`` says whether tasks read ranges of files by themselves; by default the path's scheme does.
+    """
     block -= block % width
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     sizes = files.select("path", "length")
     cut = F.explode(F.sequence(F.lit(0), F.floor((F.greatest("length", F.lit(1)) - 1) / block).cast("int")))
-    ranged = path.partition("://")[0] in RANGED or "://" not in path
+    if ranged is None:
+        ranged = path.partition("://")[0] in RANGED or "://" not in path
     if ranged:
         blocks = sizes.filter("length > 0").select("path", "length", cut.alias("block"))
         first = F.col("block").cast("long") * block
