@@ -41,37 +41,44 @@ def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, i
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
+def code_bytes(bits: int) -> int:
+    return -(-bits // 8)
+
+
 def _coder(bits: int, tables: int):
     planes: dict[int, np.ndarray] = {}
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(T.BinaryType())
     def codes(vectors: pa.Array) -> pa.Array:
+        """The codes of all tables, code_bytes(bits) bytes each."""
         out = []
         for v in vectors:
             x = np.array(v.as_py(), dtype=np.float64)
             if len(x) not in planes:
                 planes[len(x)] = np.random.default_rng([SEED, len(x)]).standard_normal((tables * bits, len(x)))
             signs = (planes[len(x)] @ (x / np.abs(x).max()) > 0).reshape(tables, bits)
-            out.append(signs @ (1 << np.arange(bits, dtype=np.int64)))
-        return pa.array(out, pa.list_(pa.int64()))
+            out.append(np.packbits(signs, axis=1, bitorder="little").tobytes())
+        return pa.array(out, pa.binary())
 
     return codes
 
 
-def _cell_links(cosine: float):
+def _cell_links(cosine: float, width: int):
     def links(table: pa.Table) -> pa.Table:
-        keys = [table[c].to_numpy() for c in ("two", "one", "size", "code", "place")]
+        rows = table.num_rows
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), dtype=np.uint8).reshape(rows, -1, width)
+        code = codes[np.arange(rows), table["place"].to_numpy()].astype(np.int64) @ (1 << 8 * np.arange(width))
+        keys = [table["two"].to_numpy(), table["one"].to_numpy(), table["size"].to_numpy(), code, table["place"].to_numpy()]
         order = np.lexsort(keys)
         keys = [k[order] for k in keys]
-        change = np.zeros(len(order), dtype=bool)
+        change = np.zeros(rows, dtype=bool)
         for k in keys:
             change[1:] |= k[1:] != k[:-1]
-        starts = np.concatenate((np.flatnonzero(np.concatenate(([True], change[1:]))), [len(order)]))
-        table = table.take(pa.array(order))
+        starts = np.concatenate((np.flatnonzero(np.concatenate(([True], change[1:]))), [rows]))
+        table, codes = table.take(pa.array(order)), codes[order]
         node, own, copies = table["node"].to_pylist(), table["own"].to_numpy(), table["copies"].to_numpy()
-        flat, size = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64), table["size"].to_numpy()
+        flat, size = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64), keys[2]
         offset = np.concatenate(([0], np.cumsum(size)))
-        codes = np.array(table["codes"].combine_chunks().flatten()).reshape(len(order), -1)
         number = {x: i for i, x in enumerate(dict.fromkeys(node))}
         numbered = np.array([number[x] for x in node], dtype=np.int64)
         counts, left, right = np.zeros(len(number), dtype=np.int64), [], []
@@ -82,16 +89,16 @@ def _cell_links(cosine: float):
             x = flat[offset[s] : offset[e]].reshape(e - s, -1)
             norm = np.sqrt((x * x).sum(axis=1))
             across = one[s] != two[s]
-            rows = np.flatnonzero(own[s:e] == one[s])
+            left_rows = np.flatnonzero(own[s:e] == one[s])
             cols = np.flatnonzero(own[s:e] == two[s])
-            for at in range(0, len(rows), 256):
-                i = rows[at : at + 256]
+            for at in range(0, len(left_rows), 256):
+                i = left_rows[at : at + 256]
                 a, b = np.nonzero((x[i] @ x[cols].T) / (norm[i][:, None] * norm[cols][None, :]) >= cosine)
                 a, b = i[a], cols[b]
                 if not across:
                     a, b = a[keep := a < b], b[keep]
                 # Pairs that met in an earlier table were counted there.
-                new = ~(codes[s + a, : place[s]] == codes[s + b, : place[s]]).any(axis=1)
+                new = ~(codes[s + a, : place[s]] == codes[s + b, : place[s]]).all(axis=2).any(axis=1)
                 a, b = s + a[new], s + b[new]
                 np.add.at(counts, numbered[a], copies[b])
                 np.add.at(counts, numbered[b], copies[a])
@@ -111,21 +118,26 @@ def _cell_links(cosine: float):
 def links(classes: DataFrame, n: int, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(node, root, n) of classes (node, vector, copies): edges of stars, and link counts to be summed by node."""
     bits, tables = plan(n, cosine, recall)
-    coded = materialise(classes.withColumn("codes", _coder(bits, tables)("vector")), "codes")
-    cells = coded.select("node", F.size("vector").alias("size"), F.posexplode("codes").alias("place", "code"))
-    full = cells.groupBy("place", "code", "size").agg(F.count("*").alias("rows")).filter("rows > 1")
+    width = code_bytes(bits)
+    coded = materialise(classes.select("node", "vector", "copies", F.size("vector").alias("size"), _coder(bits, tables)("vector").alias("codes")), "codes")
+    place = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("place")
+    code = F.expr(f"substring(codes, place * {width} + 1, {width})")
+    # Only buckets of more than CELL rows need more than one block; there are at most n * tables / CELL.
+    cells = coded.select("codes", "size", place).groupBy("place", code.alias("code"), "size").agg(F.count("*").alias("rows")).filter(F.col("rows") > CELL)
+    large = materialise(cells, "buckets")
     spread = (
-        coded.withColumn("size", F.size("vector"))
-        .select("*", F.posexplode("codes").alias("place", "code"))
-        .join(full, ["place", "code", "size"])
-        .withColumn("blocks", F.ceil(F.col("rows") / CELL).cast("int"))
+        coded.select("*", place)
+        .withColumn("code", code)
+        .join(large, ["place", "code", "size"], "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / CELL), F.lit(1)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
-        .select("node", "vector", "copies", "codes", "size", "place", "code", "own", "one", "two")
     )
     share = F.pmod(F.xxhash64("place", "code", "size", "one", "two"), F.lit(max(1, -(-n * tables // SHARE))))
-    return spread.withColumn("share", share).groupBy("share").applyInArrow(_cell_links(cosine), "node string, root string, n long")
+    # Vectors travel once for each table, in their own type.
+    sent = spread.select("node", "vector", "copies", "codes", "size", "place", "own", "one", "two", share.alias("share"))
+    return sent.groupBy("share").applyInArrow(_cell_links(cosine, width), "node string, root string, n long")
 
 
 def near_duplicates(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -135,7 +147,7 @@ def near_duplicates(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     fit = F.coalesce(~odd & F.exists(array, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value; the text of the components names a vector exactly.
     named = F.when(fit, F.substring(F.sha2(F.to_json(F.transform(array, lambda x: x + F.lit(0.0))).cast("binary"), 256), 1, 32))
-    ids = rows.select(F.col(vec_id).alias("vec_id"), named.alias("node"), F.when(fit, array).alias("vector"))
+    ids = rows.select(F.col(vec_id).alias("vec_id"), named.alias("node"), F.when(fit, F.col(vector)).alias("vector"))
     classes = materialise(ids.filter("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vectors")
     found = materialise(links(classes.select("node", "vector", "copies"), classes.count(), cosine, recall), "links")
     roots = connected_components(found.select("node", "root")).filter("node <> root")
