@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import materialise
 from .components import connected_components, stars
 
-COSINE, RECALL, SEED = 0.95, 0.995, 7
+COSINE, RECALL, SEED = 0.95, 0.999, 7
 #: Classes that meet in a bucket by chance; rows of a cell; rows of a task's share.
 CHANCE, CELL, SHARE = 24, 1024, 8_192
 
