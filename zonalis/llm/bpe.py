@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 #: The split of byte-level BPE (fixed value of the public format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each of a worker's two tables of encoded pieces; longer pieces are not kept.
-TABLE_ENTRIES, TABLE_PIECE = 400_000, 64
+TABLE_ENTRIES, TABLE_PIECE = 300_000, 64
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
