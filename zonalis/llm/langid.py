@@ -31,7 +31,7 @@ DOCS, LANGS, PIECES, PIECE = 250, 200, 4, 32
 #: Buckets of hashed features, n-gram lengths in bytes, training rounds.
 BUCKETS, GRAMS, ROUNDS = 1 << 18, (2, 3, 4), 40
 #: Characters that a worker takes up at a time, words of a forward-backward run, words whose features are found at once.
-SLICE, RUN, CHUNK = 8_000_000, 400_000, 20_000
+SLICE, RUN, CHUNK = 4_000_000, 300_000, 20_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
