@@ -200,6 +200,22 @@ def test_bloom_filter_levels():
     assert (f.levels(strange) > 0).mean() < 0.02
 
 
+def test_pairs_counted_once_are_not_unseen(spark):
+    """Of a pair seen once and one never seen, with the same words' counts, only the latter pays the penalty."""
+    keys = np.random.default_rng(3).integers(0, 1 << 40, 5000, dtype=np.uint64)
+    f = lm.Filter(1, {0: lm.build_part(keys, np.ones(5000, dtype=np.int64)).tobytes()})
+    assert (f.levels(keys) >= 0).all()
+    train = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    model = lm.train(train)
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm.score(spark.createDataFrame([(1, "a b"), (2, "a d")], "doc_id long, text string"), model).collect()}
+    p = 1.1 / (6 + 0.1 * 6)
+    seen = math.log10((0.1 + 0.9 * p) / p)
+    start = math.log10((0.1 * 1 / 2 + 0.9 * p) / p)
+    end = math.log10((0.1 + 0.9 * 2.1 / (6 + 0.1 * 6)) / (2.1 / (6 + 0.1 * 6)))
+    assert got[1] == pytest.approx(start + seen + end, rel=1e-9)
+    assert got[2] == pytest.approx(start + math.log10(0.9) + end, rel=1e-9)
+
+
 def test_lm_on_odd_rows(spark, odd):
     got = lm.score(odd, lm.train(odd)).collect()
     assert len(got) == 9 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 7)} == {1}

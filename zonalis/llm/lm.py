@@ -2,9 +2,8 @@
 
 Tokens are blank-separated words with A-Z lower-cased, then one end mark for each text.
 Unigram counts are exact.  Bigram counts are quantised to powers of two and stored in a
-Bloom filter: a pair counted c times (``LEAST`` or more) is entered once for every level
-1 .. floor(log2 c), so that its level is found by membership probes that stop at the first
-miss.  The filter consists of parts by hash of the pair; every part is counted, sized and
+Bloom filter: a pair counted c times is entered once for every level 0 .. floor(log2 c), so
+that its level is found by membership probes that stop at the first miss.  The filter consists of parts by hash of the pair; every part is counted, sized and
 built by its own task.  Parts are broadcast in groups of at most ``GROUP_BYTES``; a larger
 filter is probed one group after the other, so memory stays bounded at any corpus size.
 
@@ -36,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, materialise
 
-PSEUDO, LEAST, WEIGHT = 0.1, 2, 0.1
+#: ``LEAST`` is the least count of a pair that is entered: every pair is.
+PSEUDO, LEAST, WEIGHT = 0.1, 1, 0.1
 #: Bits of the filter for each entry, and probes of an entry.
 BITS, PROBES = 12, 4
 GROUP_BYTES, BUCKET_BYTES, PART_TOKENS = 128 << 20, 12 << 20, 2_000_000
@@ -77,13 +77,13 @@ def _place(key: np.ndarray, level: int, probe: int, bits) -> np.ndarray:
 
 def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The filter of one part, as bytes, for distinct keys with their counts."""
-    level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) * (counts >= LEAST)
-    entries = int(level.sum())
+    level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    entries = int(level.sum()) + len(level)
     if not entries:
         return np.zeros(0, dtype=np.uint8)
     size = np.uint64(-(-entries * BITS // 64) * 64)
     bits = np.zeros(int(size), dtype=bool)
-    for at in range(1, int(level.max()) + 1):
+    for at in range(int(level.max()) + 1):
         own = keys[level >= at]
         for probe in range(PROBES):
             bits[_place(own, at, probe, size)] = True
@@ -93,19 +93,22 @@ def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Filter:
     """Some parts of the filter, end to end."""
 
-    def __init__(self, total: int, segments: dict[int, bytes]):
+    def __init__(self, total: int, segments: dict[int, bytes] | Iterator[tuple[int, bytes]], sizes: dict[int, int] | None = None):
+        """``segments`` may come one after the other, in any order, if ``sizes`` tells their lengths."""
         self.total = total
         size = np.zeros(total, dtype=np.int64)
-        own = sorted(segments)
-        size[own] = [len(segments[p]) for p in own]
+        sizes = {p: len(b) for p, b in segments.items()} if sizes is None else sizes
+        size[list(sizes)] = list(sizes.values())
         self.begin, self.bits = (np.cumsum(size) - size).astype(np.int64), (size * 8).astype(np.uint64)
-        self.bytes = np.frombuffer(b"".join(segments[p] for p in own), dtype=np.uint8)
+        self.bytes = np.zeros(int(size.sum()), dtype=np.uint8)
+        for p, held in segments.items() if isinstance(segments, dict) else segments:
+            self.bytes[self.begin[p] : self.begin[p] + size[p]] = np.frombuffer(held, dtype=np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each pair, 0 for those that are not found or belong to other parts."""
+        """The level of each pair, -1 for those that are not found or belong to other parts."""
         part, key = _split_key(keys, self.total)
-        found = np.zeros(len(keys), dtype=np.int64)
-        at, level = np.flatnonzero(self.bits[part] > 0), 0
+        found = np.full(len(keys), -1, dtype=np.int64)
+        at, level = np.flatnonzero(self.bits[part] > 0), -1
         while len(at):
             level += 1
             for probe in range(PROBES):
@@ -213,17 +216,18 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
 def groups(model: Model, limit: int = GROUP_BYTES) -> list:
     """Broadcast filters that hold all parts, each of ``limit`` bytes at most unless one part is larger."""
     sizes = model.segments.select("part", "size").orderBy("part").collect()  # one row for PART_TOKENS tokens
-    cuts, now = [[]], 0
+    cuts, now = [{}], 0
     for part, size in sizes:
         if cuts[-1] and now + size > limit:
-            cuts.append([])
+            cuts.append({})
             now = 0
-        cuts[-1].append(part)
+        cuts[-1][part] = size
         now += size
     context, out = model.segments.sparkSession.sparkContext, []
     for own in cuts:
-        rows = model.segments.filter(F.col("part").between(own[0], own[-1])).select("part", "bytes").collect() if own else []
-        out.append(context.broadcast(Filter(model.parts, {r["part"]: bytes(r["bytes"]) for r in rows})))
+        # The driver takes up some parts at a time.
+        rows = model.segments.filter(F.col("part").between(min(own), max(own))).select("part", "bytes").toLocalIterator() if own else ()
+        out.append(context.broadcast(Filter(model.parts, ((r["part"], r["bytes"]) for r in rows), own)))
     return out
 
 
@@ -262,7 +266,7 @@ def _scorer(filters: list, total: int, distinct: int, texts: int, weight: float)
             for at in range(0, len(flat), RUN):
                 one, two = before[at : at + RUN], flat[at : at + RUN]
                 level = own.levels(pair_keys(hashes[one], hashes[two]))
-                hit = np.flatnonzero((level > 0) & (n[one] > 0))
+                hit = np.flatnonzero((level >= 0) & (n[one] > 0))
                 share = np.minimum(np.exp2(level[hit]), n[one[hit]]) / n[one[hit]]
                 p = 10.0 ** logs[two[hit]]
                 ratio[at + hit] = np.log10(weight * share + (1 - weight) * p) - logs[two[hit]]
