@@ -224,12 +224,13 @@ def _switched(pieces: list[tuple[int, list[str]]]) -> tuple[list[list[str]], lis
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", docs: int = DOCS, langs: int = LANGS, pieces: int = PIECES, piece: int = PIECE) -> Model:
     """Fit on the labelled documents given; the caller leaves out those to be held out."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    chance = F.xxhash64("text", F.lit(4)).bitwiseAND(F.lit((1 << 53) - 1))
+    texts = rows.select("lang", chance.alias("chance")).groupBy("lang", "chance").count()
+    counts = texts.groupBy("lang").agg(F.sum("count").alias("count"), F.count("*").alias("texts")).orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not counts:
         return train([])
-    # Twice as many as wanted by rate, then exactly by rank: copies of a text count once.
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * docs / r["count"]))])
-    chance = F.xxhash64("text", F.lit(4)).bitwiseAND(F.lit((1 << 53) - 1))
+    # Twice as many texts as wanted by rate, then exactly by rank: copies of a text count once in both.
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * docs / r["texts"]))])
     likely = rows.withColumn("chance", chance).filter(F.col("chance") / float(1 << 53) < F.coalesce(F.try_element_at(rate, "lang"), F.lit(0.0))).dropDuplicates(["lang", "chance"])
 
     @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
