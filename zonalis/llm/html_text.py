@@ -7,7 +7,7 @@ Pages whose longest block is the same count as one, so copies of an article do n
 template.  Inside an article only subtrees made of links are deleted that way, as
 paragraphs may be quoted on many pages.  Elements that HTML itself names as no part of the
 article (menus, headers, footers, sidebars, forms, scripts, and names that say so) go too, and
-if a page marks its article, what stands outside it.
+if a page marks its article or main part, what stands outside all such marks.
 
 Defined results: null and empty html give an empty text.  A null or odd URL counts as one
 host.  Malformed markup is read as browsers do: unclosed paragraphs and items end where the next
@@ -264,8 +264,8 @@ class Page:
         for h, parent in zip(self.hashes, self.parents, strict=True):
             gone.append(h in templates or parent >= 0 and gone[parent])
         kept = [(t, mark) for t, mark, holder in self.blocks if not gone[holder]]
-        best = max((mark for _, mark in kept), default=0)
-        return "\n\n".join(t for t, mark in kept if mark == best)
+        marked = any(mark for _, mark in kept)
+        return "\n\n".join(t for t, mark in kept if mark or not marked)
 
 
 SHAPE = T.StructType([T.StructField("signature", T.LongType()), T.StructField("subtrees", T.ArrayType(T.LongType()))])
