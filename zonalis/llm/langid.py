@@ -1,16 +1,16 @@
 """Language identification by a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are the chain's positions and languages its
-labels.  A word's features are the byte n-grams of its text between end marks, so that
-those with a mark are its affixes, and its own identity, the lexicon feature.  Feature
-weights and the transitions between labels are learned together; training chains
+Words (a letter and the letters and combining marks behind it, lower-cased) are the chain's
+positions and languages its labels.  A word's features are the character n-grams of its text
+between end marks, so that those with a mark are its affixes, and its own identity, the lexicon
+feature.  Feature weights and the transitions between labels are learned together; training chains
 join pieces of documents of different languages, so switching is learned as well.
 Forward-backward gives each word the probability of each language; a document's
 language has the highest mean probability over its words.
 
-Fitting uses a bounded sample: ``DOCS`` labelled documents for each of the ``LANGS`` most
-frequent languages, ``PIECES`` pieces of ``PIECE`` words spread over each text.
-Prediction reads every text whole.
+Fitting uses a bounded sample of labelled rows: ``DOCS`` documents of each language, read whole
+as chains of ``PIECE`` words.  Every language is learned; with more than ``WEIGHTS`` / ``BUCKETS`` of them
+features share buckets.  Prediction reads every text whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
 everything if nothing was labelled.  Ties go to the first language in order of name.
@@ -18,23 +18,23 @@ everything if nothing was labelled.  Ties go to the first language in order of n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCS, LANGS, PIECES, PIECE = 250, 200, 4, 32
-#: Buckets of hashed features, n-gram lengths in bytes, training rounds.
-BUCKETS, GRAMS, ROUNDS = 1 << 18, (2, 3, 4), 40
+DOCS, PIECE = 250, 64
+#: Buckets of hashed features, n-gram lengths in characters, training rounds, weights of a model at most.
+BUCKETS, GRAMS, ROUNDS, WEIGHTS = 1 << 18, (1, 2, 3), 40, 1 << 25
 #: Characters that a worker takes up at a time, words of a forward-backward run, words whose features are found at once.
 SLICE, RUN, CHUNK = 4_000_000, 300_000, 20_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 LABELS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType())]))
 
@@ -43,10 +43,10 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def features(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words end to end, and the place where each word's begin."""
-    coded = [b"\x02" + w.encode() + b"\x03" for w in vocabulary]
-    flat = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.uint64)
+    coded = [f"\x02{w}\x03" for w in vocabulary]
+    flat = np.frombuffer("".join(coded).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     size = np.array([len(c) for c in coded])
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(len(coded)), size)
@@ -54,12 +54,12 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own, code = [], []
     rolling = np.zeros(len(flat), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        rolling[: len(flat) - n + 1] = rolling[: len(flat) - n + 1] * np.uint64(257) + flat[n - 1 :]
+        rolling[: len(flat) - n + 1] = rolling[: len(flat) - n + 1] * np.uint64(0x100000001B3) + flat[n - 1 :]
         if n in GRAMS:
             at = np.flatnonzero(left >= n)
             own.append(owner[at])
             code.append(rolling[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
-    # A word's identity: a hash of all its bytes by place.
+    # A word's identity: a hash of all its characters by place.
     power = flat * (np.uint64(0xD6E8FEB86659FD93) ** (left.astype(np.uint64) % np.uint64(61)) | np.uint64(1))
     whole = np.add.reduceat(power, ends - size) if len(coded) else np.empty(0, dtype=np.uint64)
     own.append(np.arange(len(coded)))
@@ -67,7 +67,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own, code = np.concatenate(own), np.concatenate(code)
     order = np.argsort(own, kind="stable")
     code ^= code >> np.uint64(32)
-    return (code[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(own[order], np.arange(len(coded)))
+    return (code[order] % np.uint64(buckets)).astype(np.int64), np.searchsorted(own[order], np.arange(len(coded)))
 
 
 class Model:
@@ -80,7 +80,7 @@ class Model:
         """Label scores of words, by the sum of their features' weights."""
         out = np.zeros((len(vocabulary), len(self.langs)))
         for at in range(0, len(vocabulary), CHUNK):
-            codes, begins = features(vocabulary[at : at + CHUNK])
+            codes, begins = features(vocabulary[at : at + CHUNK], len(self.weights))
             out[at : at + CHUNK] = np.add.reduceat(self.weights[codes], begins, axis=0)
         return out
 
@@ -105,8 +105,11 @@ class Model:
             yield run, sizes[run], self._run(table[np.concatenate([chains[i] for i in run])], sizes[run])
             at = end
 
-    def _run(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Forward-backward over chains in order of falling length, all at one step together."""
+    def _run(self, scores: np.ndarray, sizes: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Forward-backward over chains in order of falling length, all at one step together.
+
+        The expected transitions are added to ``pairs``.
+        """
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # chains longer than t
         begin = np.concatenate(([0], np.cumsum(active)))
         step = np.arange(len(scores)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -126,7 +129,11 @@ class Model:
         back = np.ones((e - s, emit.shape[1]))
         for (ps, pe), (s, e) in zip(spans[-2::-1], spans[:0:-1], strict=True):
             grown = np.ones((pe - ps, emit.shape[1]))
-            grown[: e - s] = (emit[s:e] * back) @ move.T
+            later = emit[s:e] * back
+            grown[: e - s] = later @ move.T
+            if pairs is not None:
+                first = ahead[ps : ps + e - s]
+                pairs += move * ((first / (first * grown[: e - s]).sum(axis=1, keepdims=True)).T @ later)
             grown /= grown.sum(axis=1, keepdims=True)
             back = grown
             ahead[ps:pe] *= back
@@ -157,56 +164,55 @@ def slices(texts: list[str | None]):
     yield slice(begin, len(texts))
 
 
+class Chains:
+    """Training chains in order of falling length, with their gold labels."""
+
+    def __init__(self, pieces: list[tuple[int, list[str]]], labels: int, buckets: int):
+        chains, golds = _switched(pieces)
+        order = np.argsort([-len(c) for c in chains], kind="stable")
+        chains, golds = [chains[i] for i in order], [golds[i] for i in order]
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
+        self.codes, self.begins = features(list(vocabulary), buckets)
+        self.counts = np.diff(np.concatenate((self.begins, [len(self.codes)])))
+        self.index = np.array([vocabulary[w] for c in chains for w in c])
+        self.gold, self.sizes = np.concatenate(golds), np.array([len(c) for c in chains])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        follows = np.ones(len(self.index), dtype=bool)
+        follows[self.first] = False
+        later = np.flatnonzero(follows)
+        self.onehot, self.moves = np.eye(labels), np.zeros((labels, labels))
+        np.add.at(self.moves, (self.gold[later - 1], self.gold[later]), 1)
+
+    def gradients(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chains' log-likelihood by weights, transitions and starts: gold counts less expected ones."""
+        scores, expected = np.add.reduceat(model.weights[self.codes], self.begins, axis=0)[self.index], np.zeros_like(self.moves)
+        p = model._run(scores, self.sizes, expected)
+        error = self.onehot[self.gold] - p
+        labels = range(len(self.onehot))
+        by_word = np.column_stack([np.bincount(self.index, weights=error[:, c], minlength=len(self.counts)) for c in labels])
+        by_code = np.column_stack([np.bincount(self.codes, weights=np.repeat(by_word[:, c], self.counts), minlength=len(model.weights)) for c in labels])
+        return by_code, self.moves - expected, error[self.first].sum(axis=0)
+
+
 def train(pieces: list[tuple[str, list[str]]], rounds: int = ROUNDS, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Fit to pieces of words with one language each, by gradient ascent on the chains' likelihood."""
     langs = sorted({lang for lang, ws in pieces if ws})
     k = len(langs)
+    buckets = min(BUCKETS, 1 << max(8, (WEIGHTS // max(k, 1)).bit_length() - 1))
     if not k:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros((0, 0)), np.zeros(0))
-    chains, golds = _switched([(langs.index(lang), ws) for lang, ws in pieces if ws])
-    order = np.argsort([-len(c) for c in chains], kind="stable")
-    chains, golds = [chains[i] for i in order], [golds[i] for i in order]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
-    codes, begins = features(list(vocabulary))
-    counts = np.diff(np.concatenate((begins, [len(codes)])))
-    index = np.array([vocabulary[w] for c in chains for w in c])
-    gold, sizes = np.concatenate(golds), np.array([len(c) for c in chains])
-    first = np.cumsum(sizes) - sizes
-    follows = np.ones(len(index), dtype=bool)
-    follows[first] = False
-    later = np.flatnonzero(follows)
-    weights, moves, start = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
-    model = Model(langs, weights, moves, start)
-    memory = [np.full_like(x, 1e-8) for x in (weights, moves, start)]
-    onehot = np.eye(k)
-    seen_moves = np.zeros((k, k))
-    np.add.at(seen_moves, (gold[later - 1], gold[later]), 1)
+        return Model([], np.zeros((buckets, 0), dtype=np.float32), np.zeros((0, 0)), np.zeros(0))
+    number = {lang: i for i, lang in enumerate(langs)}
+    chains = Chains([(number[lang], ws) for lang, ws in pieces if ws], k, buckets)
+    model = Model(langs, np.zeros((buckets, k)), np.zeros((k, k)), np.zeros(k))
+    parameters = (model.weights, model.moves, model.start)
+    memory = [np.full_like(x, 1e-8) for x in parameters]
     for _ in range(rounds):
-        scores = np.add.reduceat(weights[codes], begins, axis=0)[index]
-        p = model._run(scores, sizes)
-        pair = _pairs(p, np.exp(moves), later)
-        error = onehot[gold] - p
-        by_word = np.column_stack([np.bincount(index, weights=error[:, c], minlength=len(vocabulary)) for c in range(k)])
-        by_code = np.column_stack([np.bincount(codes, weights=np.repeat(by_word[:, c], counts), minlength=BUCKETS) for c in range(k)])
-        gradients = (by_code / len(index) - decay * weights / BUCKETS, (seen_moves - pair) / len(index), (onehot[gold[first]] - p[first]).mean(axis=0))
-        for x, g, m in zip((weights, moves, start), gradients, memory, strict=True):
+        weights, moves, start = chains.gradients(model)
+        gradients = (weights / len(chains.index) - decay * model.weights / buckets, moves / len(chains.index), start / len(chains.first))
+        for x, g, m in zip(parameters, gradients, memory, strict=True):
             m += g * g
             x += rate * g / np.sqrt(m)
-    return Model(langs, weights.astype(np.float32), moves, start)
-
-
-def _pairs(p: np.ndarray, move: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Expected transitions.
-
-    A pair's posterior is ``move`` scaled by rows and columns; only one such table
-    has the two words' marginals, and fitting them in turn leads to it.
-    """
-    first, second = p[later - 1], p[later]
-    right = np.ones_like(second)
-    for _ in range(8):
-        left = first / np.maximum(right @ move.T, 1e-300)
-        right = second / np.maximum(left @ move, 1e-300)
-    return move * (left.T @ right)
+    return Model(langs, model.weights.astype(np.float32), model.moves, model.start)
 
 
 def _switched(pieces: list[tuple[int, list[str]]]) -> tuple[list[list[str]], list[np.ndarray]]:
@@ -221,36 +227,32 @@ def _switched(pieces: list[tuple[int, list[str]]]) -> tuple[list[list[str]], lis
     return [c for c, _ in chains], [g for _, g in chains]
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", docs: int = DOCS, langs: int = LANGS, pieces: int = PIECES, piece: int = PIECE) -> Model:
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", docs: int = DOCS, piece: int = PIECE) -> Model:
     """Fit on the labelled documents given; the caller leaves out those to be held out."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     chance = F.xxhash64("text", F.lit(4)).bitwiseAND(F.lit((1 << 53) - 1))
-    texts = rows.select("lang", chance.alias("chance")).groupBy("lang", "chance").count()
-    counts = texts.groupBy("lang").agg(F.sum("count").alias("count"), F.count("*").alias("texts")).orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not counts:
-        return train([])
+    texts = rows.select("lang", chance.alias("chance")).groupBy("lang", "chance").agg(F.count("*").alias("copies"))
+    # One row for each language.
+    rates = texts.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * docs / F.count("*")).alias("rate"))
     # Twice as many texts as wanted by rate, then exactly by rank: copies of a text count once in both.
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * docs / r["texts"]))])
-    likely = rows.withColumn("chance", chance).filter(F.col("chance") / float(1 << 53) < F.coalesce(F.try_element_at(rate, "lang"), F.lit(0.0))).dropDuplicates(["lang", "chance"])
+    likely = rows.withColumn("chance", chance).join(F.broadcast(rates), "lang").filter(F.col("chance") / float(1 << 53) < F.col("rate")).dropDuplicates(["lang", "chance"])
 
-    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def cut(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            ws = words(t.as_py())
-            n = min(pieces, -(-len(ws) // piece))
-            begins = [(len(ws) - piece) * i // (n - 1) if n > 1 else 0 for i in range(n)]
-            out.append([ws[b : b + piece] for b in begins])
-        return pa.array(out, pa.list_(pa.list_(pa.string())))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def own_words(texts: pa.Array) -> pa.Array:
+        return pa.array([words(t.as_py()) for t in texts], pa.list_(pa.string()))
 
-    ranked = likely.select("lang", "chance", cut("text").alias("pieces")).withColumn("rank", F.expr("row_number() over (partition by lang order by chance)")).filter(F.col("rank") <= docs)
-    found = sorted((r["lang"], r["chance"], r["pieces"]) for r in ranked.collect())
-    return train([(name, ws) for name, _, ps in found for ws in ps])
+    ranked = likely.select("lang", "chance", "text").withColumn("rank", F.expr("row_number() over (partition by lang order by chance)")).filter(F.col("rank") <= docs)
+    found = sorted((r["lang"], r["chance"], r["words"]) for r in ranked.select("lang", "chance", F.array_join(own_words("text"), " ").alias("words")).collect())
+    pieces = []
+    for name, _, joined in found:
+        own = joined.split()
+        pieces += [(name, own[at : at + piece]) for at in range(0, len(own), piece)]
+    return train(pieces)
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct ``into``: lang_pred and score."""
-    # The model's size is fixed: BUCKETS times at most LANGS weights.
+    # The model has WEIGHTS weights at most.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(PREDICTION)
