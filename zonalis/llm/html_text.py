@@ -37,7 +37,7 @@ from .common import materialise
 
 #: Different pages of a host on which a subtree stands to be a template.
 PAGES = 5
-#: Templates that are broadcast at most, 8 bytes each.
+#: Keys that are broadcast at most, 8 bytes each.
 TABLE = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -414,7 +414,9 @@ def _signed(read: DataFrame) -> DataFrame:
     pages = own.groupBy("host").agg(F.count("*").alias("pages"))
     often = own.select("host", F.explode("blocks").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).join(pages, "host").filter("2 * n > pages")
     # Fewer than twice as many as a page of the host has blocks.
-    usual = often.groupBy("host").agg(F.collect_set("key").alias("usual"))
+    usual = materialise(often.groupBy("host").agg(F.collect_set("key").alias("usual")), "usual")
+    if (usual.agg(F.sum(F.size("usual"))).first()[0] or 0) <= TABLE:
+        usual = F.broadcast(usual)
     rare = F.get(F.filter("blocks", lambda k: ~F.array_contains("usual", k)), 0)
     return own.join(usual, "host", "left").select("host", F.coalesce(rare, F.get("blocks", 0), F.lit(0)).alias("signature"), "keys")
 

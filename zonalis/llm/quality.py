@@ -1,18 +1,18 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
-texts.  A text is compressed with each, segment by segment, so that what a long text
+texts, cut into segments as they are when they are scored.  A text is compressed with each, segment by segment, so that what a long text
 has of its own does not replace the dictionary.  The difference of the two sizes over
 the length of the text says which kind it resembles.  Logistic regression turns that difference, and how short the text is, into a
 calibrated score.
 
-Fitting uses a bounded sample: twice ``SAMPLE`` labelled documents of each class,
-``WINDOW`` characters of each at a place chosen
-by its hash.  Scoring reads every text whole.
+Fitting uses a bounded sample of labelled rows: twice ``SAMPLE`` documents of each class, read
+whole.  Scoring reads every text whole.
 
 Defined results: a null text is scored as an empty one, which has the difference 0 and
 the greatest shortness.  Documents whose label rows disagree, or are null, teach nothing.
-With one class or none among the labels every score is that class's share (0.5 without labels).
+With fewer than ``LEAST`` texts of either class every score is the good class's share (0.5 without labels).
+A column named like the new one is replaced.
 """
 
 from __future__ import annotations
@@ -26,31 +26,28 @@ from pyspark.sql import types as T
 
 from .common import bytes_of
 
-SAMPLE, WINDOW = 1500, 6000
+SAMPLE, LEAST = 1500, 4
 DICTIONARY, LEVEL, SEGMENT = 112_640, 3, 1024
 THRESHOLD = 0.7
 #: Added to every length: a few bytes tell little.
 SHORT = 128
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> zstandard.ZstdCompressionDict:
-    """A dictionary of at most ``size`` bytes; the texts themselves if they are too few to train one."""
-    if _few(texts, size):
-        return zstandard.ZstdCompressionDict(b"\n".join(texts)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.train_dictionary(size, texts, level=LEVEL)
-
-
-def _few(texts: list[bytes], size: int = DICTIONARY) -> bool:
-    return len(texts) < 32 or sum(map(len, texts)) <= 3 * size
+def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A dictionary of at most ``size`` bytes and a quarter of the texts; the texts themselves where zstandard finds too little to train on."""
+    parts = [t[at : at + SEGMENT] for t in texts for at in range(0, len(t), SEGMENT)]
+    try:
+        return zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(texts)
 
 
 class Model:
     """Two dictionaries and the coefficients of the calibration."""
 
-    def __init__(self, good: bytes, bad: bytes, coefficients: list[float], raw: tuple[bool, bool]):
-        self.state = (good, bad, coefficients, raw)
-        kinds = [zstandard.DICT_TYPE_RAWCONTENT if r else zstandard.DICT_TYPE_AUTO for r in raw]
-        self.compress = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=k), write_content_size=False, write_dict_id=False).compress for d, k in zip((good, bad), kinds, strict=True)] if good and bad else []
+    def __init__(self, good: bytes, bad: bytes, coefficients: list[float]):
+        self.state = (good, bad, coefficients)
+        self.compress = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress for d in (good, bad)] if good and bad else []
 
     def __reduce__(self):
         return Model, self.state
@@ -86,7 +83,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, window: int = WINDOW) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on the labelled documents given; the caller leaves out those to be held out."""
     agreed = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("most")).filter("y = most")
     shares = {r["y"]: r["count"] for r in agreed.groupBy("y").count().collect()}
@@ -96,28 +93,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     chosen = [agreed.filter(F.col("y") == y).select("doc_id", "y", chance).orderBy("chance").limit(2 * sample) for y in (0, 1)]
     # At most 4 * sample rows of ids, so this side may be broadcast.
     chosen = chosen[0].union(chosen[1])
-    body = F.coalesce(F.col(text), F.lit(""))
-    at = F.pmod(F.xxhash64(body), F.greatest(F.length(body) - window, F.lit(0)) + 1).cast("int")
-    part = docs.select(F.col(doc_id).alias("doc_id"), F.substr(body, at + 1, F.lit(window)).alias("part"))
-    rows = part.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("chance").alias("chance"), F.min("part").alias("part")).collect()
-    rows = sorted(((r["chance"], r["y"], r["part"].encode()) for r in rows if r["part"]))
-    parts = {y: [p for _, own, p in rows if own == y] for y in (0, 1)}
-    if min(map(len, parts.values())) < 4:
+    body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).filter("body <> ''")
+    rows = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("chance").alias("chance"), F.min("body").alias("body")).collect()
+    rows = sorted((r["chance"], r["y"], r["body"].encode()) for r in rows)
+    return train([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], prior)
+
+
+def train(good: list[bytes], bad: list[bytes], prior: float) -> Model:
+    """Dictionaries of both classes, and the calibration for a share ``prior`` of good ones."""
+    if min(len(good), len(bad)) < LEAST:
         edge = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", [float(np.log(edge / (1 - edge))), 0.0, 0.0], (True, True))
+        return Model(b"", b"", [float(np.log(edge / (1 - edge))), 0.0, 0.0])
     # Each half is measured with dictionaries of the other half; the final ones have both.
     found = []
     for half in (0, 1):
-        model = _dictionaries(parts[1][half::2], parts[0][half::2])
-        found += [(*model.evidence(p), y) for y in (0, 1) for p in parts[y][1 - half :: 2]]
+        model = Model(dictionary(good[half::2]), dictionary(bad[half::2]), [0.0, 0.0, 0.0])
+        found += [(*model.evidence(t), y) for y, own in ((0, bad), (1, good)) for t in own[1 - half :: 2]]
     found = np.array(found, dtype=np.float64)
-    good, bad, _, raw = _dictionaries(parts[1], parts[0]).state
-    return Model(good, bad, _logistic(found[:, :2], found[:, 2], prior), raw)
-
-
-def _dictionaries(good: list[bytes], bad: list[bytes]) -> Model:
-    made = [dictionary(texts).as_bytes() for texts in (good, bad)]
-    return Model(*made, [0.0, 0.0, 0.0], (_few(good), _few(bad)))
+    return Model(dictionary(good), dictionary(bad), _logistic(found[:, :2], found[:, 2], prior))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
