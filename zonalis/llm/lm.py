@@ -1,14 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Tokens are blank-separated words with A-Z lower-cased, then one end mark for each text.
-Unigram counts are exact.  Bigram counts are quantised to powers of two and stored in a
+Unigram counts are exact.  All bigram counts are quantised to powers of two and stored in a
 Bloom filter: a pair counted c times is entered once for every level 0 .. floor(log2 c), so
-that its level is found by membership probes that stop at the first miss.  The filter consists of parts by hash of the pair; every part is counted, sized and
-built by its own task.  Parts are broadcast in groups of at most ``GROUP_BYTES``; a larger
-filter is probed one group after the other, so memory stays bounded at any corpus size.
+that its level is found by membership probes that stop at the first miss.  The filter consists of
+parts by hash of the pair; every part is counted, sized and built by its own task.
 
-A pair's probability is ``WEIGHT`` times its quantised share of its first word's count, plus
-1 - ``WEIGHT`` times the smoothed unigram probability; after an unknown word it is the latter.
+A filter of at most ``GROUP_BYTES`` is broadcast to the workers.  A larger one stays where it
+is, in the shared folder: every bucket of documents sends its distinct pairs to their parts, which are probed there,
+and the levels come back.  So neither the driver nor a worker ever holds more than that.
+
+A pair's probability is ``weight`` times its quantised share of its first word's count, plus
+1 - ``weight`` times the smoothed unigram probability; after an unknown word it is the latter.
+The weight is the Good-Turing estimate from all training texts of how often the next pair has been seen:
+one less the share of tokens whose pair occurs once.
 Quantised counts are rounded down, so but for false positives the probabilities add up to one at most.
 
 Scoring deals the documents into buckets of about ``BUCKET_BYTES`` by hash.  Each
@@ -29,16 +34,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, materialise
 
-#: ``LEAST`` is the least count of a pair that is entered: every pair is.
-PSEUDO, LEAST, WEIGHT = 0.1, 1, 0.1
+PSEUDO = 0.1
 #: Bits of the filter for each entry, and probes of an entry.
-BITS, PROBES = 12, 4
+BITS, PROBES = 10, 4
+#: A filter that is broadcast at most, text of a bucket, tokens of a part.
 GROUP_BYTES, BUCKET_BYTES, PART_TOKENS = 128 << 20, 12 << 20, 2_000_000
 #: Tokens that a task gathers before it passes on counts, and that it scores at a time.
 FLUSH, RUN = 1_500_000, 500_000
@@ -62,7 +68,9 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _split_key(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A pair's part (there are at most 2**23), and the 40 bits that name it inside the part."""
+    """A pair's part (there are at most 2**23), and the 40 bits that name it inside the part; without parts both are there."""
+    if not parts:
+        return (keys >> np.uint64(40)).astype(np.int64), keys & _KEY
     return (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64), keys & _KEY
 
 
@@ -130,6 +138,7 @@ class Model:
     tokens: int
     distinct: int
     texts: int
+    weight: float
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +205,9 @@ def _build(table: pa.Table) -> pa.Table:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    made = build_part(keys[first], np.add.reduceat(counts[order], first)).tobytes()
-    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "bytes": pa.array([made], pa.binary()), "size": pa.array([len(made)], pa.int64())})
+    counts = np.add.reduceat(counts[order], first)
+    made = build_part(keys[first], counts).tobytes()
+    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "bytes": pa.array([made], pa.binary()), "size": pa.array([len(made)], pa.int64()), "once": pa.array([int((counts == 1).sum())], pa.int64())})
 
 
 def train(docs: DataFrame, *, text: str = "text") -> Model:
@@ -209,26 +219,66 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     ends = vocabulary.filter(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0]
     parts = min(1 << 23, max(1, -(-(total or 0) // PART_TOKENS)))
     pairs = texts.mapInArrow(_count_pairs(parts), "part int, packed binary")
-    segments = materialise(pairs.groupBy("part").applyInArrow(_build, "part int, bytes binary, size long"), "segments")
-    return Model(vocabulary, segments, parts, total or 0, distinct, ends or 0)
-
-
-def groups(model: Model, limit: int = GROUP_BYTES) -> list:
-    """Broadcast filters that hold all parts, each of ``limit`` bytes at most unless one part is larger."""
-    sizes = model.segments.select("part", "size").orderBy("part").collect()  # one row for PART_TOKENS tokens
-    cuts, now = [{}], 0
-    for part, size in sizes:
-        if cuts[-1] and now + size > limit:
-            cuts.append({})
-            now = 0
-        cuts[-1][part] = size
-        now += size
-    context, out = model.segments.sparkSession.sparkContext, []
-    for own in cuts:
-        # The driver takes up some parts at a time.
-        rows = model.segments.filter(F.col("part").between(min(own), max(own))).select("part", "bytes").toLocalIterator() if own else ()
-        out.append(context.broadcast(Filter(model.parts, ((r["part"], r["bytes"]) for r in rows), own)))
-    return out
+    segments = materialise(pairs.groupBy("part").applyInArrow(_build, "part int, bytes binary, size long, once long"), "segments")
+    once = segments.agg(F.sum("once")).first()[0] or 0
+    return Model(vocabulary, segments, parts, total or 0, distinct, ends or 0, ((total or 0) - once) / ((total or 0) + 1))
+
+
+def _whole(model: Model):
+    """The whole filter, broadcast; the driver takes up some parts at a time."""
+    sizes = {r["part"]: r["size"] for r in model.segments.select("part", "size").collect()}  # one row for PART_TOKENS tokens
+    rows = ((r["part"], r["bytes"]) for r in model.segments.select("part", "bytes").toLocalIterator())
+    return model.segments.sparkSession.sparkContext.broadcast(Filter(model.parts, rows, sizes))
+
+
+def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Numbers of the distinct tokens, the texts' tokens end to end by number, and their sizes."""
+    place: dict[bytes, int] = {}
+    ids, sizes = [], []
+    for text in texts:
+        own = tokens(text)
+        ids.append(np.fromiter((place.setdefault(w, len(place)) for w in own), dtype=np.int32, count=len(own)))
+        sizes.append(len(own))
+    return place, np.concatenate(ids), np.array(sizes)
+
+
+def _pairs(hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before each token (the start mark is the last of ``hashes``), and the pairs' keys."""
+    before = np.concatenate(([0], flat[:-1]))
+    before[np.cumsum(sizes) - sizes] = len(hashes) - 1
+    return before, pair_keys(hashes[before], hashes[flat])
+
+
+def _asked(parts: int):
+    """The distinct pairs of a bucket, a row for each part: planes of 5 bytes of sorted keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place, flat, sizes = _numbered(bytes_of(table["text"]))
+        hashes = np.array([*map(token_hash, place), token_hash(START)], dtype=np.uint64)
+        part, key = _split_key(np.unique(_joined(_pairs(hashes, flat, sizes)[1], parts)), 0)
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        packed = [np.ascontiguousarray(key[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes() for s, e in zip(cut, [*cut[1:], len(part)], strict=True)]
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(cut), pa.int32()), "part": pa.array(part[cut], pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _joined(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part and key of pairs as one number, in order of part."""
+    part, key = _split_key(keys, parts)
+    return (part.astype(np.uint64) << np.uint64(40)) | key
+
+
+def _answered(asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """The levels of the pairs asked for of one part: a byte for each, 0 where it is not found."""
+    own = Filter(1, {0: segment["bytes"][0].as_py()} if len(segment) else {})
+    levels = []
+    for packed in asked["packed"]:
+        planes = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(5, -1)
+        wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+        wide[:, :5] = planes.T
+        levels.append((own.levels(wide.view("<u8")[:, 0]) + 1).astype(np.uint8).tobytes())
+    return pa.table({"bucket": asked["bucket"], "part": asked["part"], "levels": pa.array(levels, pa.binary())})
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -238,54 +288,58 @@ def _distinct(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
 
 
-def _scorer(filters: list, total: int, distinct: int, texts: int, weight: float):
+def _scorer(whole, parts: int, total: int, distinct: int, texts: int, weight: float):
+    """Scores of a bucket; levels come from the broadcast filter ``whole`` or, if that is None, with the counts."""
     floor = total + PSEUDO * (distinct + 1)
 
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        words = counts["token"].to_pylist()
-        place = {w: i for i, w in enumerate(words)}
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        place, flat, sizes = _numbered(bytes_of(docs["text"]))
+        counts = found.filter(pc.is_valid(found["token"]))
         # One more entry than words: the start mark.
-        n = np.append(counts["n"].to_numpy().astype(np.float64), texts)
+        n = np.zeros(len(place) + 1)
+        n[np.fromiter(map(place.__getitem__, counts["token"].to_pylist()), dtype=np.int64, count=len(counts))] = counts["n"].to_numpy()
+        n[-1] = texts
         logs = np.log10((n + PSEUDO) / floor) if floor else np.zeros(len(n))
-        hashes = np.array([*map(token_hash, words), token_hash(START)], dtype=np.uint64)
-        ids, sizes = [], []
-        for text in bytes_of(docs["text"]):
-            ids.append(np.fromiter(map(place.__getitem__, own := tokens(text)), dtype=np.int32, count=len(own)))
-            sizes.append(len(own))
-        sizes = np.array(sizes)
-        flat, begin = np.concatenate(ids), np.cumsum(sizes) - sizes
-        del ids, place, words
+        hashes = np.array([*map(token_hash, place), token_hash(START)], dtype=np.uint64)
+        del place
+        begin = np.cumsum(sizes) - sizes
         base = np.add.reduceat(logs[flat], begin)
         known = np.add.reduceat((n[flat] > 0).astype(np.int64), begin)
-        before = np.concatenate(([0], flat[:-1]))
-        before[begin] = len(n) - 1
+        before, keys = _pairs(hashes, flat, sizes)
+        if whole is None:
+            answers = found.filter(pc.is_valid(found["levels"])).sort_by("part")
+            levels = np.frombuffer(b"".join(answers["levels"].to_pylist()), dtype=np.uint8).astype(np.int64) - 1
+            level = levels[np.unique(_joined(keys, parts), return_inverse=True)[1]]
+        else:
+            level = np.concatenate([whole.value.levels(keys[at : at + RUN]) for at in range(0, len(keys), RUN)])
         # Where the first word is known, a pair that is not found keeps 1 - weight of the unigram.
         ratio = np.where(n[before] > 0, math.log10(1 - weight), 0.0)
-        for f in filters:
-            own = f.value
-            for at in range(0, len(flat), RUN):
-                one, two = before[at : at + RUN], flat[at : at + RUN]
-                level = own.levels(pair_keys(hashes[one], hashes[two]))
-                hit = np.flatnonzero((level >= 0) & (n[one] > 0))
-                share = np.minimum(np.exp2(level[hit]), n[one[hit]]) / n[one[hit]]
-                p = 10.0 ** logs[two[hit]]
-                ratio[at + hit] = np.log10(weight * share + (1 - weight) * p) - logs[two[hit]]
-            if len(filters) > 1:
-                del own, f._value  # the next group takes its room
+        hit = np.flatnonzero((level >= 0) & (n[before] > 0))
+        first = n[before[hit]]
+        ratio[hit] = np.log10(weight * np.minimum(np.exp2(level[hit]), first) / first + (1 - weight) * 10.0 ** logs[flat[hit]]) - logs[flat[hit]]
         score = base + np.add.reduceat(ratio, begin)
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(sizes), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", held_out=None, weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", held_out=None, weight: float | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     own = docs.select(F.col(doc_id).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     dealt = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(int(buckets), "bucket")
     found = dealt.groupBy("bucket").applyInArrow(_distinct, "bucket int, token binary")
-    counts = found.join(model.vocabulary, "token", "left").select("bucket", "token", F.coalesce("n", F.lit(0)).alias("n"))
-    run = _scorer(groups(model), model.tokens, model.distinct, model.texts, weight)
+    found = found.join(model.vocabulary, "token", "left").select("bucket", "token", F.coalesce("n", F.lit(0)).alias("n"))
+    if (model.segments.agg(F.sum("size")).first()[0] or 0) <= group_bytes:
+        whole = _whole(model)
+    else:
+        whole = None
+        asked = dealt.groupBy("bucket").applyInArrow(_asked(model.parts), "bucket int, part int, packed binary")
+        levels = asked.groupBy("part").cogroup(model.segments.select("part", "bytes").groupBy("part")).applyInArrow(_answered, "bucket int, part int, levels binary")
+        found = found.unionByName(levels, allowMissingColumns=True)
+    if whole is not None:
+        found = found.withColumns({"part": F.lit(None).cast("int"), "levels": F.lit(None).cast("binary")})
+    run = _scorer(whole, model.parts, model.tokens, model.distinct, model.texts, model.weight if weight is None else weight)
     kind = own.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
