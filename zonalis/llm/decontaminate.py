@@ -4,11 +4,13 @@ Words are lower-cased (A-Z only) runs of digits, letters a-z and non-ASCII
 characters.  An item of ``width`` words or more contributes each window of
 ``width`` consecutive words; a shorter one, if it has any word, is one window.
 
-The benchmark is read in blocks whose text has a proven bound
-(``block_bytes``).  Each block becomes a hash set of window hashes in a
+The benchmark is read in blocks of at most ``block_bytes`` of text (or of one longer item).
+A block becomes a hash set of window hashes in a
 broadcast variable, and one pass over the documents probes it; a hit is verified
-word by word.  One block is the normal case.  With more blocks the marks of the
-passes are united per document, so no window is ever left out.
+word by word.  One block is the normal case.  With more blocks the documents are written once with
+numbered rows, each block has a job of its own that writes the marks it finds, and is given up
+before the next one is built: driver and workers hold one block at a time.  The marks are then
+united by row, so no window is ever left out.
 
 Defined results: null or wordless texts give 0 words and no hit.  Null item texts
 have no window.  A window of an item with a null id still hits words, but
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, fresh
+from .common import bytes_of, fresh, materialise
 
 WIDTH = 13
 #: A document is contaminated when hits make up one word in SHARE or more.
@@ -144,29 +147,44 @@ def _scanner(windows):
     return scan
 
 
+@F.arrow_udf(T.LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words(t)) for t in bytes_of(texts)], pa.int64())
+
+
 @F.arrow_udf(FOUND)
-def _united(one: pa.Array, two: pa.Array) -> pa.Array:
-    """The union of what two passes found in the same text."""
+def _united(n_words: pa.Array, marks: pa.Array) -> pa.Array:
+    """The union of what the passes found in the same text; ``marks`` are lists of (starts, ends, items)."""
     rows = []
-    for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True):
-        starts, ends = [], []
-        for s, e in sorted(zip(a["starts"] + b["starts"], a["ends"] + b["ends"], strict=True)):
+    for n, own in zip(n_words.to_pylist(), marks.to_pylist(), strict=True):
+        starts, ends, items = [], [], set()
+        for s, e in sorted(p for m in own or () for p in zip(m["starts"], m["ends"], strict=True)):
             if ends and s <= ends[-1]:
                 ends[-1] = max(ends[-1], e)
             else:
                 starts.append(s)
                 ends.append(e)
-        rows.append({"n_words": a["n_words"], "starts": starts, "ends": ends, "items": sorted({*a["items"], *b["items"]})})
-    return pa.array(rows, one.type)
+        items.update(*(m["items"] for m in own or ()))
+        rows.append({"n_words": n, "starts": starts, "ends": ends, "items": sorted(items)})
+    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, into: str = "found") -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, hit intervals of words, and item ids."""
-    spark, found = docs.sparkSession, None
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        scan = _scanner(spark.sparkContext.broadcast(Windows(block, width)))(F.col(text))
-        found = scan if found is None else _united(found, scan)
-    return docs.withColumn(into, found)
+    context, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, item_id, item_text, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return docs.withColumn(into, _scanner(context.broadcast(Windows(block, width)))(F.col(text)))
+    row, n_words, marks = fresh(docs, "row"), fresh(docs, "n_words"), fresh(docs, "marks")
+    numbered, passes = materialise(docs.withColumns({row: F.monotonically_increasing_id(), n_words: _n_words(F.col(text))}), "numbered"), []
+    while block is not None:
+        windows = context.broadcast(Windows(block, width))
+        found = numbered.select(row, _scanner(windows)(F.col(text)).alias("found")).filter(F.size("found.starts") > 0)
+        passes.append(materialise(found.select(row, F.struct("found.starts", "found.ends", "found.items").alias("mark")), "marks"))
+        windows.destroy()
+        block, after = after, next(blocks, None)
+    every = reduce(DataFrame.unionAll, passes).groupBy(row).agg(F.collect_list("mark").alias(marks))
+    return numbered.join(every, row, "left").withColumn(into, _united(n_words, marks)).select(*docs.columns, into)
 
 
 def verdict(found: str, share: int = SHARE) -> dict:

@@ -2,14 +2,14 @@
 
 A fingerprint bit is the majority of that bit over the XXH64 values of the
 text's word shingles.  Equal fingerprints become one class first, so copies cost
-one row.  A class is embedded as the popcounts of its 32 two-bit segments, held
-as 32 fields of one word.  The Manhattan distance of two embeddings is a lower
-bound of the Hamming distance: with a bound of 3, two embeddings can differ in at
-most 3 of m groups of fields, so they fall into one grid cell of at least one of
-the C(m, 3) choices of m-3 groups.  m grows with the number of classes, which keeps
-the cells small.  Cells beyond ``CELL`` rows are split into blocks and each pair
-of blocks becomes a cell of its own.  Inside a cell the Hamming distance is
-computed exactly, and what comes out is fewer edges than rows, never all pairs.
+one row.  A class is embedded as the popcounts of its 32 two-bit segments, each written as
+that many ones, so that the Manhattan distance of two embeddings is the count of bits in which they
+differ.  It is a lower bound of the Hamming distance, and the range join finds all pairs
+within 3 of each other: such a pair differs in at most 3 of m groups of coordinates, so it falls into
+one cell of the grid that is left by at least one of the C(m, 3) choices of m-3 groups.  m grows with
+the number of classes, which keeps the cells small.  Cells beyond ``CELL`` rows are split into blocks and each pair
+of blocks becomes a cell of its own.  Inside a cell pairs within the Manhattan distance are verified by
+their Hamming distance, and what comes out is fewer edges than rows, never all pairs.
 
 Defined results: null and wordless texts have fingerprint 0, which links like any
 other.  Fewer than three words make one shingle of all of them.  A null id keeps its
@@ -35,6 +35,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 CELL, SHARE = 4096, 30_000
 #: One bit of each two-bit segment.
 _FIELDS = 0x5555555555555555
+#: Pairs of id and text that are broadcast at most.
+TABLE = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -76,12 +78,25 @@ def _masks(m: int, bits: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """Popcounts of the two-bit segments, each as that many ones."""
+    one, more = np.uint64(1), np.uint64(_FIELDS)
+    return ((fp | fp >> one) & more) | ((fp & fp >> one) & more) << one
+
+
 def _cell_edges(bits: int):
+    def near(fp, at, one, two):
+        """Of the pairs of places, whether the Manhattan distance allows them and the Hamming distance confirms it."""
+        allowed = np.bitwise_count(at[one] ^ at[two]) <= bits
+        allowed[allowed] = np.bitwise_count((fp[one] ^ fp[two])[allowed]) <= bits
+        return allowed
+
     def edges(table: pa.Table) -> pa.Table:
         fp = table["fp"].to_numpy()
         keys = [table[c].to_numpy() for c in ("two", "one", "cell", "choice")]
         order = np.lexsort(keys)
         fp = fp[order].view(np.uint64)
+        counts = embedded(fp)
         change = np.zeros(len(fp), dtype=bool)
         for k in keys:
             k = k[order]
@@ -91,13 +106,13 @@ def _cell_edges(bits: int):
         left, right = [], []
         # Small cells all at once: compare each row with the d-th row after it.
         small = np.flatnonzero(sizes[run] <= 64)
-        f, r = fp[small], run[small]
+        r = run[small]
         for d in range(1, 64):
             same = r[d:] == r[:-d]
             if not same.any():
                 break
             at = np.flatnonzero(same)
-            at = at[np.bitwise_count(f[at] ^ f[at + d]) <= bits]
+            at = at[near(fp, counts, small[at], small[at + d])]
             left.append(small[at])
             right.append(small[at + d])
         # Large cells: spread from row to row, over those not yet reached.
@@ -107,12 +122,12 @@ def _cell_edges(bits: int):
             while len(rest):
                 first, reached, rest = rest[0], [rest[0]], rest[1:]
                 while reached and len(rest):
-                    near = np.bitwise_count(fp[rest] ^ fp[reached.pop()]) <= bits
-                    if near.any():
-                        reached += rest[near].tolist()
-                        left.append(np.full(int(near.sum()), first))
-                        right.append(rest[near])
-                        rest = rest[~near]
+                    found = near(fp, counts, rest, np.full(len(rest), reached.pop()))
+                    if found.any():
+                        reached += rest[found].tolist()
+                        left.append(np.full(int(found.sum()), first))
+                        right.append(rest[found])
+                        rest = rest[~found]
         a = np.concatenate(left) if left else np.empty(0, int)
         b = np.concatenate(right) if right else np.empty(0, int)
         # The same fingerprint occurs in several cells of a share: number them once.
@@ -128,9 +143,9 @@ def linked(classes: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     fps = classes.select(F.col(column).alias("fp"))
     n = fps.count()
     masks = _masks(groups(n, bits), bits)
-    # Popcounts of the two-bit segments, as 32 fields: a half-adder on each segment.
+    # The same embedding as in embedded().
     low, high = F.col("fp").bitwiseAND(F.lit(_FIELDS)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_FIELDS))
-    fields = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    fields = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
     cells = fps.withColumn("fields", fields).select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fields").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])).alias("c")).select("fp", "c.*")
     full = cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / CELL).cast("int")
@@ -166,12 +181,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """One whole row of ``docs`` for each component: the least id, then the least hash of the text.
 
-    Exact copies are compared inside each task first, so a large group sends few rows.
+    Ids, hashes and fingerprints are written once and decide which rows go; the texts are only
+    shuffled if those rows are more than ``TABLE``.  Of rows with the same id and text one stays.
     """
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
-    marked = docs.withColumn(fp, fingerprints(F.col(text)))
-    ids = materialise(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "fingerprints")
-    roots = connected_components(linked(ids, "fp", bits)).filter("node <> root").select(F.col("node").alias(fp), F.col("root").alias(root))
-    row, rank = F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text))
-    rooted = marked.join(roots, fp, "left").withColumn(root, F.coalesce(root, fp))
-    return rooted.groupBy(root).agg(F.min_by(row, rank).alias("kept")).select("kept.*")
+    hashed = F.xxhash64(F.col(text))
+    ids = materialise(docs.select(F.col(doc_id).alias("id"), hashed.alias("hash"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    classes = materialise(ids.groupBy("fp").agg(F.min(rank).alias("least")), "classes")
+    roots = connected_components(linked(classes, "fp", bits)).filter("node <> root")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    best = rooted.agg(F.min("least").alias("least")).select(F.col("least.id").alias("best_id"), F.col("least.hash").alias("best_hash"), F.lit(True).alias("stays"))
+    rows = ids.groupBy("id", "hash").agg(F.count("*").alias("n"))
+    judged = rows.join(best, rows["id"].eqNullSafe(best["best_id"]) & (rows["hash"] == best["best_hash"]), "left")
+    # What becomes of rows that do not simply stay: they go, or one of several stays.
+    fate = materialise(judged.filter("stays is null or n > 1").select("id", "hash", F.col("stays").isNotNull().alias("stays")), "fates")
+    if fate.count() <= TABLE:
+        fate = F.broadcast(fate)
+    own = [docs[c] for c in docs.columns]
+    met = docs[doc_id].eqNullSafe(fate["id"]) & (F.xxhash64(docs[text]) == fate["hash"])
+    plain = docs.join(fate, met, "left_anti")
+    several = docs.join(fate, met & fate["stays"]).groupBy("id", "hash").agg(F.first(F.struct(*own)).alias("row")).select("row.*")
+    return plain.unionAll(several)
