@@ -21,7 +21,7 @@ def test_blocks_one_at_a_time_find_the_same(spark, monkeypatch):
     rows = lambda **more: sorted((r["doc_id"], r["f"].asDict()) for r in decontaminate.find_windows(docs, bench, into="f", **more).select("doc_id", "f").collect())
     whole = rows()
     monkeypatch.setattr(decontaminate.Windows, "__init__", counted)
-    parts = rows(block_bytes=40_000)
+    parts = rows(block_bytes=4_000)
     norm = lambda found: [(i, {**f, "items": sorted(set(f["items"]))}) for i, f in found]
     assert len(seen) > 2 and norm(parts) == norm(whole) and any(f["starts"] for _, f in whole)
 
