@@ -179,3 +179,30 @@ def test_edges_of_missing_divergence_are_dilated(spark):
     flux = spark.createDataFrame(rows, "level double, lat double, f_phi double, f_z double").withColumn("f_z", F.when((F.col("level") != 3) | (F.col("lat") != 0), F.col("f_z")))
     kept = dynamics.ep_divergence(flux, [], edge=True).filter("divergence is not null").count()
     assert kept < dynamics.ep_divergence(flux, [], edge=False).filter("divergence is not null").count()
+
+
+def test_legendre_functions_of_high_order_do_not_vanish():
+    """The addition theorem at degrees that nside 512 resolves, and one value by exact arithmetic."""
+    z = sh.rings(512)[2][[0, 1, 5, 30, 100, 200, 400, 700, 1023, 1200, 1800, 2046]]
+    lmax, degrees = 1535, [3, 700, 1200, 1535]
+    total = np.zeros((len(degrees), len(z)))
+    for m in range(lmax + 1):
+        table = sh._legendre(z, lmax, m)
+        for i, l in enumerate(degrees):
+            if l >= m:
+                total[i] += (1 if m == 0 else 2) * table[l - m] ** 2
+    assert np.allclose(total, (2 * np.array(degrees)[:, None] + 1) / (4 * math.pi), rtol=1e-8)
+
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    m, l, x = 1500, 3071, math.sqrt(1 - 0.49986**2)
+    now, before, last = Decimal(1), Decimal(0), Decimal(0)
+    for k in range(1, m + 1):
+        now *= (Decimal(2 * k - 1) / Decimal(2 * k)).sqrt() * (1 - Decimal(x) ** 2).sqrt()
+    now *= (Decimal(2 * m + 1) / (4 * Decimal("3.14159265358979323846264338327950288419716939937510582"))).sqrt()
+    for k in range(m + 1, l + 1):
+        a = (Decimal(4 * k * k - 1) / Decimal(k * k - m * m)).sqrt()
+        now, before, last = a * (Decimal(x) * now - last * before), now, 1 / a
+    assert abs(float(now)) > 1e-3
+    assert sh._legendre(np.array([x]), l, m)[-1, 0] == pytest.approx(float(now), rel=1e-6)

@@ -37,7 +37,10 @@ class Field:
         self.values = [f.name for f in self.df.schema if f.name not in (*self.keys, "cell", "lat", "lon") and f.dataType.typeName() in ("double", "float", "integer", "long")]
         self.nside = nside or self.meta.get("healpix_nside")
         if not self.nside and "cell" in self.df.columns:
-            self.nside = hp.nside_for(self.df.agg(F.max("cell")).first()[0] + 1)
+            last = self.df.agg(F.max("cell")).first()[0]
+            if last is None:
+                raise ValueError(f"{path} has no cells and does not say its resolution")
+            self.nside = hp.nside_for(last + 1)
         if cf.order_of(self.meta) == "nested":
             self.df = grid.reorder(self.df, self.nside, "ring")
 
@@ -47,16 +50,22 @@ def convert(args, spark) -> DataFrame:
     df = readers.read_field(spark, args.input, writers.resolve_store(args.input)[1])
     if args.grid:
         df = readers.with_grid(df, readers.read_field(spark, args.grid, writers.resolve_store(args.grid)[1]))
-    keys = [c for c in df.columns if c in KEYS]
+    keys, meta = [c for c in df.columns if c in KEYS], writers.read_metadata(spark, args.input)
+    places = [c for c in ("cell", "lon", "lat", "hours") if c in df.columns]
     if args.config:
-        df, missing = readers.rename_mapped(df, readers.load_mapping(open(args.config, encoding="utf-8").read()), [*keys, *[c for c in ("cell", "lon", "lat") if c in df.columns]])
+        df, missing = readers.rename_mapped(df, readers.load_mapping(open(args.config, encoding="utf-8").read()), [*keys, *places])
         if missing:
             print(f"no column for {', '.join(missing)}", file=sys.stderr)
+    elif readers.is_swath(meta):
+        df = readers.named_by_standard(df, [*keys, *places])
     values = [c for c in df.columns if c not in (*keys, "cell", "lon", "lat", "hours")]
-    if args.ut_bins:
+    if args.ut_bins or readers.is_swath(meta):
+        args.ut_bins = args.ut_bins or 24
         z, t = F.sin(F.radians("lat")), F.pmod(F.col("lon"), F.lit(360.0)) / 90.0
         args.nside = args.nside or 32
         return reduce.bin_swath(df, args.nside, values[0], z=z, t=t, level="level", bins=args.ut_bins, hours=F.col("hours"))
+    if {"lon", "lat"} <= set(df.columns) and not cf.are_degrees(df, "lon") and df.filter(F.abs("lat") > 1.5707964).isEmpty():
+        df = df.withColumns({c: F.degrees(c) for c in ("lon", "lat")})
     own = HealpixInterpolator(args.nside, args.order).setup(df)
     args.nside = own.nside
     return own(df, keys, values)
@@ -99,11 +108,11 @@ def run_compare(args, spark) -> None:
         one, two = cp.align_time(one, two)
     if args.lmax or args.wavelength:
         option = {"lmax": args.lmax} if args.lmax else {"wavelength_km": args.wavelength}
-        smooth = lambda df: _joined([spectral.filter_map(df, ref.nside, ref.keys, v, **option) for v in variables], [*ref.keys, "cell"])
-        one, two = smooth(one), smooth(two)
+        smooth = lambda df, f: _joined([spectral.filter_map(df, f.nside, f.keys, v, **option) for v in variables], [*f.keys, "cell"])
+        one, two = smooth(one, ref), smooth(two, cmp)
     vector = ("u", "v") if args.vector and {"u", "v"} <= set(variables) else None
     level = "level" if "level" in ref.keys else None
-    out = cp.compare(one, two, variables, nside=ref.nside, keys=ref.keys, level=level, reduce=args.reduce, lat_range=tuple(args.lat_range), level_range=tuple(args.level_range) if args.level_range else None, vector=vector, scale=figures.display_factors(variables))
+    out = cp.compare(one, two, variables, nside=ref.nside, nside_cmp=cmp.nside, select_levels=args.levels, keys=ref.keys, level=level, reduce=args.reduce, lat_range=tuple(args.lat_range), level_range=tuple(args.level_range) if args.level_range else None, vector=vector, scale=figures.display_factors(variables))
     if not args.by_level:
         out = out.filter("level is null")
     text = writers.format_statistics(out, args.format, args.precision, level is not None and cf.is_pressure(ref.df, "level"), color=not args.no_color and args.format == "table")
@@ -160,7 +169,7 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
         "plot": (plot, [("--type", {"required": True, "choices": ["section", "keogram", "map", "spectrum", "epflux"]}), ("--var", {}), ("--lat", {"type": float}), ("--lon", {"type": float}), ("--height", {"type": float})]),
         "ep-flux": ep,
         "epflux": ep,
-        "compare": (run_compare, [("--var", {}), ("--by-level", flag), ("--reduce", {"default": "zonal-mean", "choices": ["zonal-mean", "global", "none"]}), ("--lat-range", {"type": float, "nargs": 2, "default": [-90.0, 90.0]}), ("--level-range", {"type": float, "nargs": 2}), ("--format", {"default": "table", "choices": ["table", "csv", "markdown", "latex"]}), ("--precision", {"type": int, "default": 3}), ("--no-color", flag), ("--save", {}), ("--vector", flag), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
+        "compare": (run_compare, [("--var", {}), ("--by-level", flag), ("--reduce", {"default": "zonal-mean", "choices": ["zonal-mean", "global", "none"]}), ("--lat-range", {"type": float, "nargs": 2, "default": [-90.0, 90.0]}), ("--level-range", {"type": float, "nargs": 2}), ("--levels", {"type": float, "nargs": "+"}), ("--format", {"default": "table", "choices": ["table", "csv", "markdown", "latex"]}), ("--precision", {"type": int, "default": 3}), ("--no-color", flag), ("--save", {}), ("--vector", flag), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
     }
 
 
@@ -193,8 +202,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("zonalis").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     out = known[args.command][0](args, spark)
     if out is not None:
-        nside = getattr(args, "nside", None) or writers.read_metadata(spark, args.input).get("healpix_nside")
-        meta = writers.metadata(nside, getattr(args, "order", "ring"), note=f"zonalis {args.command}") if nside and "cell" in out.columns else None
+        before = writers.read_metadata(spark, args.input)
+        nside = getattr(args, "nside", None) or before.get("healpix_nside")
+        meta = writers.metadata(nside, getattr(args, "order", "ring"), history=before.get("history"), note=f"zonalis {args.command}") if nside and "cell" in out.columns else None
         writers.write_field(out, args.output, overwrite=args.overwrite, meta=meta)
     print(f"{args.command}: {time.time() - began:.1f} s, {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB", file=sys.stderr)
     return 0

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions import units
+from zonalis.operators.extract import nearest_levels
 from zonalis.operators.reduce import coslat_mean, zonal_mean
 from zonalis.operators.regrid import interpolate_axis
 
+#: Values of an axis at most.
+AXIS = 100_000
 STATISTICS = ("n", "bias", "rmse", "crmse", "mae", "r", "sigma_ref", "sigma_cmp", "skill")
 
 
@@ -77,9 +81,27 @@ def align_time(ref: DataFrame, cmp: DataFrame, time: str = "time") -> tuple[Data
     return ref.join(common, time, "left_semi"), cmp.join(common, time, "left_semi")
 
 
+def axis_values(df: DataFrame, axis: str) -> list[float]:
+    """The distinct values of an axis in order, ``AXIS`` at most; none, or more, is an error."""
+    found = [r[0] for r in df.select(F.col(axis).cast("double").alias("x")).filter("x is not null").distinct().orderBy("x").limit(AXIS + 1).collect()]
+    if not 0 < len(found) <= AXIS:
+        raise ValueError(f"{axis} has {'no values' if not found else f'more than {AXIS} values'}")
+    return found
+
+
+def same_units(ref: DataFrame, cmp: DataFrame, variables: list[str]) -> DataFrame:
+    """``cmp`` with the variables in the units of ``ref`` where both say theirs; units of another kind are an error."""
+    out = {}
+    for v in variables:
+        one, two = units.units_of(ref, v), units.units_of(cmp, v)
+        if one and two and one != two:
+            out[v] = units.convert(F.col(v), two, one).alias(v, metadata={**(cmp.schema[v].metadata or {}), "units": one})
+    return cmp.select(*[out.get(c, F.col(c)) for c in cmp.columns]) if out else cmp
+
+
 def align_axis(ref: DataFrame, cmp: DataFrame, axis: str, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both data sets on one axis: the values of the side with fewer of them (ties: ref) in the overlap."""
-    points = [[r[0] for r in df.select(F.col(axis).cast("double")).distinct().orderBy(axis).collect()] for df in (ref, cmp)]
+    points = [axis_values(df, axis) for df in (ref, cmp)]
     low, high = max(p[0] for p in points), min(p[-1] for p in points)
     if low > high:
         raise ValueError(f"no overlap along {axis}")
@@ -93,25 +115,37 @@ def align_axis(ref: DataFrame, cmp: DataFrame, axis: str, keys: list[str], value
     return out[0], out[1]
 
 
-def compare(ref: DataFrame, cmp: DataFrame, variables: list[str], *, nside: int, keys: list[str] | None = None, level: str | None = "level", reduce: str = "zonal-mean", lat_range: tuple[float, float] | None = None, level_range: tuple[float, float] | None = None, vector: tuple[str, str] | None = None, scale: dict[str, float] | None = None) -> DataFrame:
+def compare(ref: DataFrame, cmp: DataFrame, variables: list[str], *, nside: int, nside_cmp: int | None = None, keys: list[str] | None = None, level: str | None = "level", reduce: str = "zonal-mean", lat_range: tuple[float, float] | None = None, level_range: tuple[float, float] | None = None, select_levels: list[float] | None = None, vector: tuple[str, str] | None = None, scale: dict[str, float] | None = None) -> DataFrame:
     """One row of statistics for each variable and level, and one over all levels (null level).
 
     ``reduce`` is zonal-mean, global or none.  With ``vector`` the two winds give one row named
-    Winds instead of their own.  ``scale`` multiplies a variable before the statistics.
+    Winds instead of their own.  ``scale`` multiplies a variable before the statistics.  Variables are brought to
+    the units of ``ref``.  Levels that differ, and latitudes of another resolution ``nside_cmp``, are
+    interpolated to those of the side that has fewer, where they overlap; cells are not, so ``reduce`` none needs one resolution.
     """
     keys = keys if keys is not None else [c for c in ("time", level) if c and c in ref.columns]
-    place = ["cell"]
+    cmp, place, other = same_units(ref, cmp, [*variables, *([level] if level and level in keys else [])]), ["cell"], nside_cmp or nside
+    if select_levels:
+        # As the comparison is at levels of ref, those of cmp follow by alignment.
+        ref = nearest_levels(ref, level, select_levels)
     if reduce != "none":
-        ref, cmp = (zonal_mean(df, nside, keys, variables) for df in (ref, cmp))
-        place = ["ring", "lat"]
+        ref, cmp = (zonal_mean(df, n, keys, variables) for df, n in ((ref, nside), (cmp, other)))
+        place = ["ring"]
+        if other != nside:
+            ref, cmp = align_axis(ref, cmp, "lat", keys, variables)
+            place = ["lat"]
         if lat_range:
             ref, cmp = (df.filter(F.col("lat").between(*lat_range)) for df in (ref, cmp))
+    elif other != nside:
+        raise ValueError("cells of different resolutions cannot be compared one by one")
     if reduce == "global":
         ref, cmp = (coslat_mean(df, keys, variables) for df in (ref, cmp))
         place = []
     if level_range:
         ref, cmp = (df.filter(F.col(level).between(*level_range)) for df in (ref, cmp))
-    own = [k for k in [*keys, *place] if k != "lat"]
+    if level and level in keys and axis_values(ref, level) != axis_values(cmp, level):
+        ref, cmp = align_axis(ref, cmp, level, [*(k for k in keys if k != level), *place], variables)
+    own = [*keys, *place]
     pairs = ref.select(*own, *[F.col(v).alias(f"{v}_ref") for v in variables]).join(cmp.select(*own, *[F.col(v).alias(f"{v}_cmp") for v in variables]), own)
     for v, factor in (scale or {}).items():
         pairs = pairs.withColumns({f"{v}_ref": F.col(f"{v}_ref") * factor, f"{v}_cmp": F.col(f"{v}_cmp") * factor})

@@ -239,6 +239,8 @@ def to_standard_levels(field: DataFrame, keys: list[str], values: list[str], pre
     from zonalis.operators.regrid import interpolate_axis
 
     low, high = field.agg(F.min(pressure), F.max(pressure)).first()
+    if low is None:
+        raise ValueError(f"{pressure} has no values")
     targets = [math.log(p) for p in standard_levels(low, high)]
     out = interpolate_axis(field.filter(F.col(pressure) > 0), level, [*keys, cell], values, targets, F.log(pressure))
     return out.withColumn(level, F.round(F.exp(level), 8))

@@ -26,24 +26,48 @@ def rings(nside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(size) - size, size, z, np.where(shifted, 0.0, math.pi / size)
 
 
-@lru_cache(maxsize=64)
+#: Bytes of Legendre tables that a process keeps, and the exponent by which tiny values are carried.
+TABLE_BYTES, SCALE = 64 << 20, 512
+_tables: dict[tuple[int, int, int], np.ndarray] = {}
+
+
 def legendre(nside: int, lmax: int, m: int) -> np.ndarray:
     """Orthonormal associated Legendre functions of order m at the rings: shape (lmax - m + 1, rings)."""
-    z = rings(nside)[2]
+    key = (nside, lmax, m)
+    if key not in _tables:
+        made = _legendre(rings(nside)[2], lmax, m)
+        if sum(t.nbytes for t in _tables.values()) + made.nbytes > TABLE_BYTES:
+            return made
+        _tables[key] = made
+    return _tables[key]
+
+
+def _legendre(z: np.ndarray, lmax: int, m: int) -> np.ndarray:
+    """By recurrence in the degree.
+
+    Near the poles functions of high order begin far below the least number, but grow to
+    ordinary size, so every point has an exponent of 2**SCALE beside its value.
+    """
     s = np.sqrt(1 - z * z)
+    k = np.arange(1, m + 1)
+    start = 0.5 * (math.log2((2 * m + 1) / (4 * math.pi)) + float(np.sum(np.log2((2 * k - 1) / (2 * k))))) + m * np.log2(s)
+    power = np.minimum(np.ceil(start / SCALE), 0.0).astype(np.int64)
+    now, before = (-1) ** m * np.exp2(start - SCALE * power), np.zeros_like(z)
     out = np.zeros((lmax - m + 1, len(z)))
-    log0 = 0.5 * (math.log((2 * m + 1) / (4 * math.pi)) + sum(math.log((2 * k - 1) / (2 * k)) for k in range(1, m + 1)))
-    out[0] = (-1) ** m * np.exp(log0 + m * np.log(s))
+    out[0] = np.where(power == 0, now, 0.0)
+    big, small = 2.0 ** (SCALE // 2), 2.0**-SCALE
+    last = 0.0
     for l in range(m + 1, lmax + 1):
         a = math.sqrt((4.0 * l * l - 1) / (l * l - m * m))
-        out[l - m] = a * z * out[l - m - 1]
-        if l > m + 1:
-            b = math.sqrt(((l - 1.0) ** 2 - m * m) / (4.0 * (l - 1) ** 2 - 1))
-            out[l - m] -= a * b * out[l - m - 2]
+        now, before = a * (z * now - last * before), now
+        last = 1 / a
+        grown = (np.abs(now) > big) & (power < 0)
+        if grown.any():
+            now, before, power = np.where(grown, now * small, now), np.where(grown, before * small, before), power + grown
+        out[l - m] = np.where(power == 0, now, 0.0)
     return out
 
 
-@lru_cache(maxsize=64)
 def slopes(nside: int, lmax: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Derivative in colatitude, and m times the function over the sine of colatitude."""
     z = rings(nside)[2]
@@ -88,15 +112,19 @@ def synthesis(alm: np.ndarray, nside: int) -> np.ndarray:
 
 
 def analysis(values: np.ndarray, nside: int, lmax: int, iterations: int = 3) -> np.ndarray:
-    """Coefficients with equal weights, refined by that many Jacobi passes."""
+    """Coefficients with equal weights, refined by that many Jacobi passes, each of which uses an order's table once."""
     alm = np.zeros((lmax + 1, lmax + 1), dtype=complex)
     rest = values
     for step in range(iterations + 1):
         sums = phases(rest, nside, lmax) * (4 * math.pi / len(values))
+        amplitudes = np.empty((4 * nside - 1, lmax + 1), dtype=complex)
         for m in range(lmax + 1):
-            alm[m:, m] += legendre(nside, lmax, m) @ sums[:, m]
+            table = legendre(nside, lmax, m)
+            alm[m:, m] += table @ sums[:, m]
+            if step < iterations:
+                amplitudes[:, m] = alm[m:, m] @ table
         if step < iterations:
-            rest = values - synthesis(alm, nside)
+            rest = values - from_phases(amplitudes, nside)
     return alm
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import posixpath
+import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def check_paths(source: str, target: str) -> None:
-    if source.rstrip("/") == target.rstrip("/"):
+    # "x", "./x" and "x/" are one path, and so are file:/x and /x.
+    plain = lambda p: posixpath.normpath(p if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]+:", p) else posixpath.abspath(re.sub(r"^file:/*", "/", p)))
+    if plain(source) == plain(target):
         raise ValueError("input and output are the same")
 
 
