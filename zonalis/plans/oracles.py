@@ -52,7 +52,7 @@ OBS = "(SELECT event_id, ts AS time, value, (2 * (event_id % 997) + 1) / 997.0::
 FIELD = "(SELECT l_linenumber::DOUBLE AS level, l_orderkey % 192 AS cell, avg(l_quantity) AS u, avg(l_tax) AS v, avg(l_extendedprice) AS temp, avg(l_discount) AS omega FROM lineitem GROUP BY ALL)"
 MONTHLY = "(SELECT month(l_shipdate) AS time, l_linenumber::DOUBLE AS level, l_orderkey % 192 AS cell, avg(l_quantity) AS u, avg(l_tax) AS v, avg(l_extendedprice) AS temp, avg(l_discount) AS omega FROM lineitem GROUP BY ALL)"
 GAPPY = f"(SELECT * REPLACE (CASE WHEN (cell * 7 + level::BIGINT * 3) % 5 <> 0 THEN u END AS u) FROM {FIELD})"
-REGULAR = "(SELECT l_linenumber::DOUBLE AS level, (l_orderkey % 15) * 12.0::DOUBLE - 84 AS lat, (l_partkey % 24) * 15.0::DOUBLE AS lon, avg(l_quantity) AS u FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
+REGULAR = "(SELECT l_linenumber::DOUBLE AS level, (l_orderkey % 15) * 12.0::DOUBLE - 84 AS lat, (l_partkey % 24) * 15.0::DOUBLE AS lon, avg(l_quantity) AS u FROM lineitem GROUP BY ALL)"
 
 
 def pixels(n: int) -> str:
