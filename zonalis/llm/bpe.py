@@ -45,12 +45,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
+def _check(spec: dict) -> None:
+    """Raise for what a file may ask for and this codec does not do."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    bad = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    bad += ["type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * (spec.get("normalizer") is not None)
+    bad += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True))
+    bad += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    bad += [f"added token {t['content']!r}" for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") and spec.get("normalizer")]
+    if bad:
+        raise ValueError(f"not supported in a tokenizers file: {', '.join(bad)}")
+
+
 class Codec:
     """Encoder and decoder of one tokenizers file with byte-level BPE."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         letters = byte_letters()
         byte_of = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]

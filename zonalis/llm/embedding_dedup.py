@@ -87,6 +87,8 @@ def _cell_links(cosine: float, width: int):
             if e - s < 2:
                 continue
             x = flat[offset[s] : offset[e]].reshape(e - s, -1)
+            # Squares of very large or small components would leave the range of doubles.
+            x = x / np.abs(x).max(axis=1, keepdims=True)
             norm = np.sqrt((x * x).sum(axis=1))
             across = one[s] != two[s]
             left_rows = np.flatnonzero(own[s:e] == one[s])

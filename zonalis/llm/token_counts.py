@@ -48,7 +48,10 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", tokeniz
     def packed(texts: pa.Array) -> pa.Array:
         own, kind, out = bpe.codec(tokenizer), f"<u{width}", []
         for t in texts:
-            out.append(np.frombuffer(own.encode_packed(t.as_py() or "", special=False), dtype="<u4").astype(kind).tobytes())
+            ids = np.frombuffer(own.encode_packed(t.as_py() or "", special=False), dtype="<u4")
+            if len(ids) and int(ids.max()) >> 8 * width:
+                raise ValueError(f"token {ids.max()} does not fit {width} bytes")
+            out.append(ids.astype(kind).tobytes())
         return pa.array(out, pa.binary())
 
     end = separator.to_bytes(width, "little").decode("latin-1")
