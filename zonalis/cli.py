@@ -108,7 +108,7 @@ def run_compare(args, spark) -> None:
         one, two = cp.align_time(one, two)
     if args.lmax or args.wavelength:
         option = {"lmax": args.lmax} if args.lmax else {"wavelength_km": args.wavelength}
-        smooth = lambda df, f: _joined([spectral.filter_map(df, f.nside, f.keys, v, **option) for v in variables], [*f.keys, "cell"])
+        smooth = lambda df, f: spectral.filter_maps(df, f.nside, f.keys, variables, **option)
         one, two = smooth(one, ref), smooth(two, cmp)
     vector = ("u", "v") if args.vector and {"u", "v"} <= set(variables) else None
     level = "level" if "level" in ref.keys else None
@@ -151,7 +151,11 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
     def on(f: Callable) -> Callable:
         return lambda args, spark: f(args, Field(spark, args.input))
 
-    ep = (on(lambda a, f: dynamics.eliassen_palm(f.df, f.nside, [k for k in f.keys if k != "level"], mode=a.mode, time_mean="time" if a.time_mean else None, vertical="height" if cf.is_height(f.df, "level") or a.height else "pressure", interpolate="pres" in f.df.columns and not a.height)), [("--height", flag), ("--mode", {"default": "auto", "choices": ["auto", "full", "tem", "qg"]}), ("--time-mean", flag)])
+    def flux(a, f: Field) -> DataFrame:
+        vertical = "height" if a.height else "auto"
+        return dynamics.eliassen_palm(f.df, f.nside, [k for k in f.keys if k != "level"], mode=a.mode, time_mean="time" if a.time_mean else None, vertical=vertical, interpolate=False if a.native else None, lmax=a.lmax, check=True, least_pressure=a.least_pressure, greatest_height=a.greatest_height)
+
+    ep = (on(flux), [("--height", flag), ("--native", flag), ("--mode", {"default": "auto", "choices": ["auto", "full", "tem", "qg"]}), ("--time-mean", flag), ("--lmax", {"type": int}), ("--least-pressure", {"type": float}), ("--greatest-height", {"type": float})])
     return {
         "convert": (convert, [("--nside", {"type": int}), ("--ut-bins", {"type": int}), ("--config", {}), ("--grid", {}), ("--order", {"default": "ring", "choices": ["ring", "nested"]})]),
         "extract-lat": (lambda a, s: _along(a, s, lambda f: extract.parallel_targets(s, f.nside, a.lat, a.num_lons)), [("--lat", {"type": float, "required": True}), ("--num-lons", {"type": int})]),
@@ -160,7 +164,7 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
         "fill": (fill, [("--time-dim", {})]),
         "zonal-mean": (on(lambda a, f: reduce.zonal_mean(f.df, f.nside, f.keys, f.values)), []),
         "spectrum": (on(lambda a, f: spectral.spectrum(f.df, f.nside, f.keys, a.var.split(",") if a.var else f.values[:2] if a.type != "power" else f.values[:1], a.type, a.lmax)), [("--var", {}), ("--lmax", {"type": int}), ("--type", {"default": "power", "choices": ["power", "cross", "kinetic", "kinetic-scalar"]})]),
-        "filter": (on(lambda a, f: _joined([spectral.filter_map(f.df, f.nside, f.keys, v, fwhm_deg=a.fwhm, lmax=a.lmax, wavelength_km=a.wavelength) for v in f.values], [*f.keys, "cell"])), [("--fwhm", {"type": float}), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
+        "filter": (on(lambda a, f: spectral.filter_maps(f.df, f.nside, f.keys, f.values, fwhm_deg=a.fwhm, lmax=a.lmax, wavelength_km=a.wavelength)), [("--fwhm", {"type": float}), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
         "regrade": (on(lambda a, f: grid.regrade(f.df, f.nside, a.nside or hp.nside_for_zoom(a.zoom), f.keys, f.values)), [("--nside", {"type": int}), ("--zoom", {"type": int})]),
         "uv2dv": (on(lambda a, f: spectral.vorticity_divergence(f.df, f.nside, f.keys, a.u, a.v, a.lmax)), wind),
         "dv2uv": (on(lambda a, f: spectral.winds(f.df, f.nside, f.keys, a.div, a.vor, a.lmax)), [("--div", {"default": "divergence"}), ("--vor", {"default": "vorticity"}), ("--lmax", {"type": int})]),

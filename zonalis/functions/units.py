@@ -89,13 +89,13 @@ def units_of(df: DataFrame, column: str) -> str | None:
     return (df.schema[column].metadata or {}).get("units")
 
 
-def check_and_convert(df: DataFrame, names: dict[str, str]) -> DataFrame:
+def check_and_convert(df: DataFrame, names: dict[str, str], look: bool = True) -> DataFrame:
     """Bring columns {column: quantity} to the expected units.
 
     A column without units gets the expected ones if all its values lie in the quantity's
-    range; one pass finds the ranges of all such columns.
+    range; one pass finds the ranges of all such columns.  Without ``look`` they are not checked.
     """
-    bare = {c: q for c, q in names.items() if not units_of(df, c) and q in EXPECTED_RANGE}
+    bare = {c: q for c, q in names.items() if look and not units_of(df, c) and q in EXPECTED_RANGE}
     ranges = df.agg(*[f(c).alias(f"{k}_{c}") for c in bare for k, f in (("lo", F.min), ("hi", F.max))]).first() if bare else None
     out = {}
     for c, quantity in names.items():

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.functions import cf, units
 from zonalis.functions import healpix as hp
 
 #: Physical constants in SI units.
@@ -246,38 +247,172 @@ def to_standard_levels(field: DataFrame, keys: list[str], values: list[str], pre
     return out.withColumn(level, F.round(F.exp(level), 8))
 
 
-def eliassen_palm(field: DataFrame, nside: int, keys: list[str], level: str = "level", mode: str = "auto", time_mean: str | None = None, vertical: str = "pressure", interpolate: bool = False) -> DataFrame:
-    """The whole chain: potential temperature, covariances, flux and its divergence.
+#: Inputs of the chain: the quantity of the CF rules that finds each, and the one its units are those of.
+INPUTS = {"u": ("u", "u"), "v": ("v", "v"), "w": ("w", "w"), "temp": ("temperature", "temp"), "theta": ("theta", "theta"), "pres": ("pressure", "pres"), "vor": ("vorticity", "vorticity")}
+#: Names of geometric heights, and of geopotential or its height (fixed values).
+GEOMETRIC = ("z_geom", "altitude", "height_geom")
+GEOPOTENTIAL = ("z", "geopot", "geopotential", "zg", "geopotential_height")
 
-    On ``vertical`` pressure (Pa) the field has u, v, temp (or theta) and may have omega, or w for it.  On height (m) it may have
-    w, and pres for the density.  With ``interpolate``, levels with a pres of their own go to
-    standard pressure levels first.
+
+def canonical(field: DataFrame, keys: list[str], check: bool = False) -> DataFrame:
+    """The field with the chain's names, found by alias, standard name or units, and in SI units.
+
+    A vertical velocity in pressure over time is omega.  Columns without units are taken as SI; with ``check``
+    one pass holds their values against the range of their quantity.
+    """
+    taken = {"omega"} & set(field.columns)
+    names = {}
+    for name, (quantity, _) in INPUTS.items():
+        free = field.select(*[c for c in field.columns if c not in (*keys, *taken)])
+        found = name if name in free.columns else cf.find_variable(free, quantity)
+        if found is None:
+            continue
+        taken.add(found)
+        said = units.units_of(field, found)
+        falls = name == "w" and said and units.compatible(said, "Pa/s")
+        if falls and "omega" in field.columns:
+            continue
+        names[found] = "omega" if falls else name
+    field = field.withColumnsRenamed(names)
+    kinds = {name: kind for name, (_, kind) in INPUTS.items()} | {"omega": "omega"}
+    return units.check_and_convert(field, {c: kinds[c] for c in field.columns if c in kinds and c not in keys}, check)
+
+
+def find_level(field: DataFrame, keys: list[str], level: str, cell: str = "cell") -> str:
+    """The vertical axis: ``level`` if it is there, else what metadata or names tell."""
+    return level if level in field.columns else cf.vertical_axis(field, [c for c in field.columns if c not in (*keys, cell)])
+
+
+def vertical_kind(field: DataFrame, level: str) -> str:
+    """height, pressure, or model for numbered or unknown levels with a pressure field of their own.
+
+    Levels that nothing describes are pressures, unless they are mere numbers of layers, which is an error.
+    """
+    if cf.is_height(field, level) or cf.is_metres(field, level):
+        return "height"
+    if cf.is_pressure(field, level):
+        return "pressure"
+    if "pres" in field.columns:
+        return "model"
+    if cf.is_level_index(field, level):
+        raise ValueError(f"{level} numbers layers, and there is no pressure field")
+    return "pressure"
+
+
+def si_level(field: DataFrame, level: str) -> DataFrame:
+    """The axis in Pa or m, if its units say otherwise."""
+    said = units.units_of(field, level)
+    wanted = next((u for u in ("Pa", "m") if said and units.compatible(said, u)), None)
+    if wanted is None:
+        return field
+    meta = {**field.schema[level].metadata, "units": wanted}
+    return field.withColumn(level, units.convert(F.col(level), said, wanted).alias(level, metadata=meta))
+
+
+def height_of(field: DataFrame) -> tuple[str, float] | None:
+    """The column of a height, and what makes a geopotential of it (0 for a geometric height)."""
+    for c in GEOMETRIC:
+        if c in field.columns:
+            return c, 0.0
+    for c in GEOPOTENTIAL:
+        if c in field.columns:
+            said = units.units_of(field, c)
+            return c, 1.0 if said and units.compatible(said, "m2 s-2") else GRAVITY
+    return None
+
+
+def destagger(field: DataFrame, half: DataFrame, keys: list[str], value: str = "w", level: str = "level", cell: str = "cell") -> DataFrame:
+    """The field with ``value`` of half levels brought to its own levels, linear in the axis."""
+    from zonalis.operators.compare import axis_values
+    from zonalis.operators.regrid import interpolate_axis
+
+    own = interpolate_axis(half, level, [*keys, cell], [value], axis_values(field, level))
+    return field.drop(value).join(own, [*keys, level, cell], "left")
+
+
+def _density(eddies: DataFrame, level: str, vertical: str) -> Column:
+    """Ideal gas where temperature and pressure are known, else an exponential atmosphere."""
+    have = set(eddies.columns)
+    p = F.col(level) if vertical == "pressure" else F.col("pres") if "pres" in have else None
+    if p is not None and "temp" in have:
+        return density(F.col("temp"), p)
+    if p is not None and vertical == "pressure":
+        return density(F.col("theta") * F.pow(p / P_SURFACE, F.lit(KAPPA)), p)
+    if p is None:
+        return density(height=F.col(level))
+    # Pressure but no temperature: one scale height of all profiles.
+    fitted = scale_height(eddies, "pres", level).first()[0]
+    return RHO_SURFACE * F.exp(-F.col(level) / (fitted or HEIGHT))
+
+
+def _omega_flux(eddies: DataFrame, level: str, height: tuple[str, float] | None, surface: float) -> Column:
+    """The flux of omega from that of w, with gravity at a known height or at the log-pressure height."""
+    if height is None:
+        scale = R_DRY * F.col("temp") / GRAVITY if "temp" in eddies.columns else F.lit(HEIGHT)
+        z = -scale * F.log(F.col(level) / surface)
+    else:
+        name, factor = height
+        z = geometric_height(F.col(name) * factor) if factor else F.col(name)
+    return omega_from_w(F.col("upwp"), _density(eddies, level, "pressure"), F.coalesce(gravity(z), F.lit(GRAVITY)))
+
+
+def eliassen_palm(
+    field: DataFrame, nside: int, keys: list[str], level: str = "level", mode: str = "auto", time_mean: str | None = None, vertical: str = "auto", interpolate: bool | None = None,
+    lmax: int | None = None, half: DataFrame | None = None, check: bool = False, least_pressure: float | None = None, greatest_height: float | None = None,
+) -> DataFrame:
+    """The whole chain: names and units, potential temperature, covariances, flux and its divergence.
+
+    The field has u, v, temp (or theta) and may have omega, w, pres, vor and a height, under any name that
+    ``canonical`` knows.  ``vertical`` is pressure or height, or auto to go by the axis; ``interpolate`` (by itself
+    for levels that are neither but have a pressure) goes to standard pressure levels first.  ``half`` holds w on
+    half levels.  ``lmax`` cuts off higher degrees of all inputs before they are multiplied.  What lies beyond
+    ``least_pressure`` or ``greatest_height`` is blanked.
     """
+    axis = find_level(field, keys, level)
+    field = si_level(canonical(field, [*keys, axis, "cell"], check), axis)
+    for needed in ("u", "v"):
+        if needed not in field.columns:
+            raise ValueError(f"no column is {needed}")
+    if "theta" not in field.columns and "temp" not in field.columns:
+        raise ValueError("potential temperature needs theta or temp")
+    if half is not None:
+        field = destagger(field, half, keys, level=axis)
+    if vertical == "auto":
+        kind = vertical_kind(field, axis) if not interpolate else "model"
+        vertical, interpolate = ("pressure", True) if kind == "model" and interpolate is not False else ("pressure" if kind == "model" else kind, bool(interpolate))
+    height = height_of(field.drop(axis, *keys))
+    inputs = [c for c in ("u", "v", "w", "temp", "theta", "omega", "vor", *([height[0]] if height else [])) if c in field.columns]
     if interpolate:
-        field = to_standard_levels(field, keys, [c for c in ("u", "v", "w", "temp", "theta", "omega") if c in field.columns], level=level)
-        vertical = "pressure"
-    have = {"omega", "w", "temp", "pres", "vor"} & set(field.columns)
-    rows = drop_empty(with_theta(field, level, vertical), level, "u")
+        field, vertical = to_standard_levels(field, keys, inputs, level=axis), "pressure"
+    rows = drop_empty(with_theta(field, axis, vertical), axis, "u")
+    if vertical == "height" and "pres" not in rows.columns and "temp" in rows.columns:
+        rows = rows.withColumn("pres", pressure_of(F.col("temp"), F.col("theta")))
+    have = {"omega", "w", "temp", "pres", "vor"} & set(rows.columns)
+    if lmax is not None:
+        from zonalis.operators.spectral import filter_maps
+
+        rows = filter_maps(rows, nside, [*keys, axis], [c for c in dict.fromkeys((*inputs, "theta", *sorted(have))) if c in rows.columns], lmax=lmax)
     pairs = [("u", "v"), ("v", "theta")]
     names = {"u_v": "upvp", "v_theta": "vpthetap"}
-    means = ["u", "theta", *sorted(have & {"temp", "pres", "vor"})]
+    means = ["u", "theta", *sorted(have & {"temp", "pres", "vor"}), *([height[0]] if height else [])]
     if vertical == "pressure" and "omega" in have:
         pairs.append(("u", "omega"))
         names["u_omega"] = "upomegap"
     elif "w" in have:
         pairs += [("u", "w"), ("w", "theta")]
         names |= {"u_w": "upwp", "w_theta": "wpthetap"}
-    eddies = eddy_covariances(rows, nside, [*keys, level], pairs, means).withColumnsRenamed(names)
+    eddies = eddy_covariances(rows, nside, [*keys, axis], pairs, means).withColumnsRenamed(names)
     if vertical == "pressure":
-        if "upwp" in eddies.columns and "temp" in have:
-            height = -HEIGHT * F.log(F.col(level) / P_SURFACE)
-            eddies = eddies.withColumn("upomegap", omega_from_w(F.col("upwp"), density(F.col("temp"), F.col(level)), gravity(height)))
-        out = ep_divergence(ep_flux_pressure(eddies, mode, keys, level), keys, level)
+        if "upwp" in eddies.columns:
+            surface = 1.0 if height else field.agg(F.max(axis)).first()[0] or P_SURFACE
+            eddies = eddies.withColumn("upomegap", _omega_flux(eddies, axis, height, surface))
+        out = ep_divergence(ep_flux_pressure(eddies, mode, keys, axis), keys, axis)
+        out = masked(out, axis, least_pressure=least_pressure)
     else:
-        rho = density(F.col("temp"), F.col("pres")) if {"temp", "pres"} <= have else density(height=F.col(level))
-        out = ep_divergence(ep_flux_height(eddies.withColumn("rho", rho), mode, keys, level), keys, level, rho="rho")
+        out = ep_divergence(ep_flux_height(eddies.withColumn("rho", _density(eddies, axis, vertical)), mode, keys, axis), keys, axis, rho="rho")
+        out = masked(out, axis, greatest_height=greatest_height)
     if time_mean:
-        rest = [k for k in keys if k != time_mean] + [level, "ring", "lat"]
+        rest = [k for k in keys if k != time_mean] + [axis, "ring", "lat"]
         out = out.groupBy(*rest).agg(*[F.avg(c).alias(c) for c in out.columns if c not in (*rest, time_mean)])
     return out
 

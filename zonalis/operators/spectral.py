@@ -90,7 +90,7 @@ def kinetic_kind(units: str | None, name: str) -> str:
     return "kinetic-scalar" if units in ("s-1", "s^-1", "1/s") or name.lower() in ("div", "divergence", "vor", "vorticity") else "kinetic"
 
 
-def filter_map(field: DataFrame, nside: int, keys: list[str], value: str, *, fwhm_deg: float | None = None, lmax: int | None = None, wavelength_km: float | None = None, iterations: int = 3) -> DataFrame:
+def filter_maps(field: DataFrame, nside: int, keys: list[str], values: list[str], *, fwhm_deg: float | None = None, lmax: int | None = None, wavelength_km: float | None = None, iterations: int = 3) -> DataFrame:
     """Gaussian smoothing, or cutting off degrees above lmax or of shorter wavelength; exactly one is given."""
     if sum(x is not None for x in (fwhm_deg, lmax, wavelength_km)) != 1:
         raise ValueError("exactly one of fwhm_deg, lmax and wavelength_km is needed")
@@ -101,11 +101,18 @@ def filter_map(field: DataFrame, nside: int, keys: list[str], value: str, *, fwh
     weight = sh.gaussian(top, fwhm_deg) if fwhm_deg is not None else (np.arange(top + 1) <= lmax).astype(float)
 
     def kernel(maps):
-        x, gap = _filled(maps[0])
-        out = sh.synthesis(sh.analysis(x, nside, top, iterations) * weight[:, None], nside)
-        return {"cell": np.arange(len(out)), value: np.where(gap, np.nan, out)}
+        out = {"cell": np.arange(hp.npix(nside))}
+        for value, own in zip(values, maps, strict=True):
+            x, gap = _filled(own)
+            out[value] = np.where(gap, np.nan, sh.synthesis(sh.analysis(x, nside, top, iterations) * weight[:, None], nside))
+        return out
 
-    return _maps(field, nside, keys, [value], {"cell": "long", value: "double"}, kernel)
+    return _maps(field, nside, keys, values, {"cell": "long", **dict.fromkeys(values, "double")}, kernel)
+
+
+def filter_map(field: DataFrame, nside: int, keys: list[str], value: str, **options) -> DataFrame:
+    """filter_maps of one column."""
+    return filter_maps(field, nside, keys, [value], **options)
 
 
 def vorticity_divergence(field: DataFrame, nside: int, keys: list[str], u: str = "u", v: str = "v", lmax: int | None = None) -> DataFrame:
