@@ -18,7 +18,7 @@ from zonalis.functions import units
 from zonalis.operators import compare as cp
 from zonalis.operators import dynamics as dy
 from zonalis.operators import extract, grid, interpolator, reduce, regrid, spectral, tides, wavelet
-from zonalis.plans import oracles
+from zonalis.plans import harmonic_oracles, oracles
 
 NSIDE = 4
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,7 +249,7 @@ def gap_fill_time(spark, sf_dir):
 
 
 def regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regular grid of 15 by 24 points on three levels."""
+    """A regular grid of 15 by 24 points on all levels."""
     rows = table(spark, sf_dir, "lineitem")
     lat, lon = (F.col("l_orderkey") % 15) * 12.0 - 84.0, (F.col("l_partkey") % 24) * 15.0
     return rows.groupBy(F.col("l_linenumber").cast("double").alias("level"), lat.alias("lat"), lon.alias("lon")).agg(F.avg("l_quantity").alias("u"))
@@ -493,6 +493,12 @@ def helmholtz(spark, sf_dir):
     return rounded(spectral.helmholtz(field(spark, sf_dir), NSIDE, ["level"]), "u_rot", "v_rot", "u_div", "v_div", "psi", "chi", digits=3)
 
 
+@query
+def helmholtz_potentials(spark, sf_dir):
+    out = spectral.helmholtz(field(spark, sf_dir), NSIDE, ["level"])
+    return rounded(out.withColumns({c: F.col(c) / 1e6 for c in ("psi", "chi")}), "u_rot", "v_rot", "u_div", "v_div", "psi", "chi", digits=5)
+
+
 @query
 def tide_directional(spark, sf_dir):
     rows = series(spark, sf_dir)
@@ -550,4 +556,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (oracles.SQL | harmonic_oracles.SQL).items() if k in _QUERIES}

@@ -287,14 +287,14 @@ def floored(c: str) -> str:
     return f"(CASE WHEN abs({c}) >= 1e-10 THEN {c} WHEN {c} < 0 THEN -1e-10 ELSE 1e-10 END)"
 
 
-def flux_pressure(mode: str) -> str:
+def flux_pressure(mode: str, source: str = EDDIES) -> str:
     f_hat = "f" if mode == "qg" else "(f - shear)"
     f_phi = "-upvp" if mode == "qg" else "u_p * flux - upvp"
     lift = "upomegap" if mode == "full" else "0.0"
     return f"""
   (SELECT *, {A} * {COS} * ({f_phi}) AS f_phi, {A} * {COS} * ({f_hat} * flux - {lift}) AS f_z, -{gradient('flux', 'level', 'up')} AS v_star, {gradient(f'(flux * {COS})', 'lat', 'ax')} * {DEG} / ({A} * {COS}) AS w_star FROM (
     SELECT *, 2 * 7.292e-5::DOUBLE * sin(radians(lat)) AS f, vpthetap / {floored('theta_g')} AS flux FROM (
-      SELECT *, {gradient('u', 'level', 'up')} AS u_p, {gradient('theta', 'level', 'up')} AS theta_g, {gradient(f'(u * {COS})', 'lat', 'ax')} * {DEG} / ({A} * {COS}) AS shear FROM {EDDIES} WINDOW {UP}, {ACROSS})) WINDOW {UP}, {ACROSS})"""
+      SELECT *, {gradient('u', 'level', 'up')} AS u_p, {gradient('theta', 'level', 'up')} AS theta_g, {gradient(f'(u * {COS})', 'lat', 'ax')} * {DEG} / ({A} * {COS}) AS shear FROM {source} WINDOW {UP}, {ACROSS})) WINDOW {UP}, {ACROSS})"""
 
 
 for _mode in ("full", "tem", "qg"):
