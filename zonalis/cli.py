@@ -46,11 +46,12 @@ class Field:
 
 
 def convert(args, spark) -> DataFrame:
-    """Regrid unstructured or regular tables, or bin a swath."""
-    df = readers.read_field(spark, args.input, writers.resolve_store(args.input)[1])
+    """Regrid unstructured or regular tables, or bin a swath; the files of a pattern are merged first."""
+    files = readers.matching(spark, args.input)
+    df = readers.concatenate([readers.read_field(spark, f, writers.resolve_store(f)[1]) for f in files])
     if args.grid:
         df = readers.with_grid(df, readers.read_field(spark, args.grid, writers.resolve_store(args.grid)[1]))
-    keys, meta = [c for c in df.columns if c in KEYS], writers.read_metadata(spark, args.input)
+    keys, meta = [c for c in df.columns if c in KEYS], writers.read_metadata(spark, files[0])
     places = [c for c in ("cell", "lon", "lat", "hours") if c in df.columns]
     if args.config:
         df, missing = readers.rename_mapped(df, readers.load_mapping(open(args.config, encoding="utf-8").read()), [*keys, *places])
@@ -71,6 +72,19 @@ def convert(args, spark) -> DataFrame:
     return own(df, keys, values)
 
 
+def zonal_mean(args, spark) -> DataFrame:
+    """Means of rings, or of latitude bands where the cells are not those of a HEALPix grid."""
+    df = readers.read_field(spark, args.input, writers.resolve_store(args.input)[1])
+    last = df.agg(F.max("cell")).first()[0] if "cell" in df.columns else None
+    if "lat" not in df.columns or cf.is_healpix(writers.read_metadata(spark, args.input), last + 1 if last is not None else None):
+        f = Field(spark, args.input)
+        return reduce.zonal_mean(f.df, f.nside, f.keys, f.values)
+    keys = [c for c in df.columns if c in KEYS]
+    values = [c for c in df.columns if c not in (*keys, "cell", "lat", "lon")]
+    bands = args.bands or reduce.band_count(last + 1 if last is not None else df.select("lat", "lon").distinct().count())
+    return reduce.band_zonal_mean(df, bands, keys, values)
+
+
 def _along(args, spark, targets: Callable) -> DataFrame:
     f = Field(spark, args.input)
     return extract.along(f.df, targets(f), f.nside, f.keys, f.values)
@@ -91,8 +105,8 @@ def run_tides(args, spark) -> DataFrame:
     out = None
     for m in dict.fromkeys(abs(m) for _, m in pairs):
         rings = wavelet.harmonic_rings(f.df, f.nside, keys, axis, value, m, args.lmax) if args.method == "sh" else spectral.ring_fourier(f.df, f.nside, [*keys, axis], value, [m])
-        own = tides.wavelet_tides(rings, f.nside, keys, axis, m, dt, [p for p, _ in pairs], args.dj, args.sym_asy)
-        own = own.withColumn("m", F.lit(m))
+        own = tides.wavelet_tides(rings, f.nside, keys, axis, m, dt, [p for p, _ in pairs], args.dj, args.sym_asy, not args.per_time)
+        own = (tides.on_cells(own, spark, f.nside) if args.cells else own).withColumn("m", F.lit(m))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -162,14 +176,14 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
         "extract-lon": (lambda a, s: _along(a, s, lambda f: extract.meridian_targets(s, f.nside, a.lon, a.num_lats)), [("--lon", {"type": float, "required": True}), ("--num-lats", {"type": int})]),
         "extract-point": (on(lambda a, f: extract.point(f.df, f.nside, a.lat, a.lon)), [("--lat", {"type": float, "required": True}), ("--lon", {"type": float, "required": True})]),
         "fill": (fill, [("--time-dim", {})]),
-        "zonal-mean": (on(lambda a, f: reduce.zonal_mean(f.df, f.nside, f.keys, f.values)), []),
+        "zonal-mean": (zonal_mean, [("--bands", {"type": int})]),
         "spectrum": (on(lambda a, f: spectral.spectrum(f.df, f.nside, f.keys, a.var.split(",") if a.var else f.values[:2] if a.type != "power" else f.values[:1], a.type, a.lmax)), [("--var", {}), ("--lmax", {"type": int}), ("--type", {"default": "power", "choices": ["power", "cross", "kinetic", "kinetic-scalar"]})]),
         "filter": (on(lambda a, f: spectral.filter_maps(f.df, f.nside, f.keys, f.values, fwhm_deg=a.fwhm, lmax=a.lmax, wavelength_km=a.wavelength)), [("--fwhm", {"type": float}), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
         "regrade": (on(lambda a, f: grid.regrade(f.df, f.nside, a.nside or hp.nside_for_zoom(a.zoom), f.keys, f.values)), [("--nside", {"type": int}), ("--zoom", {"type": int})]),
         "uv2dv": (on(lambda a, f: spectral.vorticity_divergence(f.df, f.nside, f.keys, a.u, a.v, a.lmax)), wind),
         "dv2uv": (on(lambda a, f: spectral.winds(f.df, f.nside, f.keys, a.div, a.vor, a.lmax)), [("--div", {"default": "divergence"}), ("--vor", {"default": "vorticity"}), ("--lmax", {"type": int})]),
         "helmholtz": (on(lambda a, f: spectral.helmholtz(f.df, f.nside, f.keys, a.u, a.v, a.lmax).drop(*(["psi"] if a.no_psi else []), *(["chi"] if a.no_chi else []))), [*wind, ("--no-psi", flag), ("--no-chi", flag)]),
-        "tides": (run_tides, [("--var", {}), ("--periods", {}), ("--m", {}), ("--modes", {}), ("--lmax", {"type": int}), ("--method", {"default": "ls", "choices": ["ls", "fourier", "sh"]}), ("--dj", {"type": float, "default": 0.1}), ("--sym-asy", flag)]),
+        "tides": (run_tides, [("--var", {}), ("--periods", {}), ("--m", {}), ("--modes", {}), ("--lmax", {"type": int}), ("--method", {"default": "ls", "choices": ["ls", "fourier", "sh"]}), ("--dj", {"type": float, "default": 0.1}), ("--sym-asy", flag), ("--per-time", flag), ("--cells", flag)]),
         "plot": (plot, [("--type", {"required": True, "choices": ["section", "keogram", "map", "spectrum", "epflux"]}), ("--var", {}), ("--lat", {"type": float}), ("--lon", {"type": float}), ("--height", {"type": float})]),
         "ep-flux": ep,
         "epflux": ep,
@@ -202,16 +216,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             sub.add_argument(option, **settings)
     args = parser.parse_args(argv)
     began = time.time()
-    writers.check_paths(args.input, args.output)
     spark = spark or SparkSession.builder.appName("zonalis").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    out = known[args.command][0](args, spark)
+    # A template as output means one output for every file that the input's pattern matches.
+    for path in readers.matching(spark, args.input) if "{" in args.output else [args.input]:
+        one = argparse.Namespace(**{**vars(args), "input": path, "output": readers.output_name(args.output, path)}) if "{" in args.output else args
+        _run_one(one, spark, known[args.command][0])
+    print(f"{args.command}: {time.time() - began:.1f} s, {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB", file=sys.stderr)
+    return 0
+
+
+def _run_one(args, spark: SparkSession, command: Callable) -> None:
+    writers.check_paths(args.input, args.output)
+    out = command(args, spark)
     if out is not None:
         before = writers.read_metadata(spark, args.input)
         nside = getattr(args, "nside", None) or before.get("healpix_nside")
         meta = writers.metadata(nside, getattr(args, "order", "ring"), history=before.get("history"), note=f"zonalis {args.command}") if nside and "cell" in out.columns else None
         writers.write_field(out, args.output, overwrite=args.overwrite, meta=meta)
-    print(f"{args.command}: {time.time() - began:.1f} s, {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB", file=sys.stderr)
-    return 0
 
 
 if __name__ == "__main__":

@@ -121,32 +121,47 @@ def least_squares_tides(field: DataFrame, nside: int, keys: list[str], value: st
     return out.select(*keys, "cell", "period_h", "m", *columns)
 
 
-def wavelet_tides(rings: DataFrame, nside: int, keys: list[str], time: str, m: int, dt: float, periods: list[float], dj: float = 0.1, sym_asy: bool = False) -> DataFrame:
+def ring_parts(rings: DataFrame, nside: int, keys: list[str], time: str) -> DataFrame:
+    """Ring series a, b as their parts symmetric (sym) and antisymmetric (asy) about the equator."""
+    other = rings.select(*keys, time, (4 * nside - F.col("ring")).alias("ring"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    both = rings.join(other, [*keys, time, "ring"])
+    parts = F.explode(F.array(F.struct(F.lit("sym").alias("part"), F.lit(1.0).alias("_k")), F.struct(F.lit("asy").alias("part"), F.lit(-1.0).alias("_k"))))
+    half = lambda c: ((F.col(c) + F.col("_p._k") * F.col(f"_{c}")) / 2).alias(c)
+    return both.withColumn("_p", parts).select(*keys, F.col("_p.part").alias("part"), time, "ring", half("a"), half("b"))
+
+
+def wavelet_tides(rings: DataFrame, nside: int, keys: list[str], time: str, m: int, dt: float, periods: list[float], dj: float = 0.1, sym_asy: bool = False, temporal_mean: bool = True) -> DataFrame:
     """keys, ring, period_h, scale_period_h, west and east amplitude and phase, averaged over time.
 
     ``rings`` holds Fourier series a, b of wavenumber |m| by ring and time, as ring_fourier gives them.  The
-    wavelet's own period nearest to the one asked for is given too.
+    wavelet's own period nearest to the one asked for is given too.  With ``sym_asy`` a column part has sym and
+    asy.  Without ``temporal_mean`` there is a row for every time, with the phase of that time.
     """
     own = rings.filter(F.col("m") == abs(m))
     if sym_asy:
-        mirrored = own.select(*keys, time, (4 * nside - F.col("ring")).alias("ring"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        own = own.join(mirrored, [*keys, time, "ring"]).withColumns({"a": (F.col("a") + F.col("_a")) / 2, "b": (F.col("b") + F.col("_b")) / 2})
+        own, keys = ring_parts(own, nside, keys, time), [*keys, "part"]
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table[time].to_numpy(), kind="stable")
         a, b = (table[c].to_numpy().astype(float)[order] for c in ("a", "b"))
         transforms = [wl.scaled(x, dt, dj) for x in (a, b)]
         scale_periods = transforms[0][1]
-        rows = []
+        columns = []
         for p in periods:
             k = int(np.abs(scale_periods - p).argmin())
             wa, wb = (t[0][k] for t in transforms)
-            rows.append((p, float(scale_periods[k]), *wl.mean_directions(wa, wb, 2 * math.pi / scale_periods[k], dt)))
-        made = {k: pa.array([table[k][0].as_py()] * len(rows), table[k].type) for k in [*keys, "ring"]}
+            found = wl.mean_directions(wa, wb, 2 * math.pi / scale_periods[k], dt) if temporal_mean else wl.directions(wa, wb)
+            columns.append(np.broadcast_arrays(p, scale_periods[k], *map(np.atleast_1d, found)))
+        n = len(columns[0][0])
+        made = {k: pa.array([table[k][0].as_py()] * (n * len(periods)), table[k].type) for k in [*keys, "ring"]}
+        if not temporal_mean:
+            times = table[time].take(pa.array(order))
+            made[time] = pa.chunked_array(times.chunks * len(periods), times.type)
         names = ("period_h", "scale_period_h", "west_amplitude", "west_phase", "east_amplitude", "east_phase")
-        return pa.table({**made, **{n: pa.array(c, pa.float64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)}})
+        return pa.table({**made, **{name: pa.array(np.concatenate(c), pa.float64()) for name, c in zip(names, zip(*columns, strict=True), strict=True)}})
 
-    schema = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in [*keys, "ring"]), "period_h double, scale_period_h double, west_amplitude double, west_phase double, east_amplitude double, east_phase double"])
+    given = [*keys, "ring"] if temporal_mean else [*keys, "ring", time]
+    schema = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in given), "period_h double, scale_period_h double, west_amplitude double, west_phase double, east_amplitude double, east_phase double"])
     return own.select(*keys, "ring", time, "a", "b").groupBy(*keys, "ring").applyInArrow(run, schema)
 
 

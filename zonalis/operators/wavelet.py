@@ -116,31 +116,67 @@ def _lower_gamma(a: float, x: float) -> float:
     return min(1.0, total * math.exp(-x + a * math.log(x) - math.lgamma(a)))
 
 
-def _grouped_power(series: DataFrame, keys: list[str], time: str, dt: float, dj: float) -> DataFrame:
+def series_power(series: DataFrame, keys: list[str], time: str, value: str, dt: float, dj: float = 0.25, mother: str = "MORLET", order: float | None = None, level: float = 0.95) -> DataFrame:
+    """keys, time, period_h, power, coi_h and threshold: the squared transform of every series.
+
+    Power above ``threshold`` is significant at ``level`` against red noise of the series' own variance and
+    lag-1 correlation.  Missing values are left out before; a series of fewer than four values, or of one value
+    only, gives no row.
+    """
+    dof = 1 if mother == "DOG" else 2
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.argsort(table[time].to_numpy(), kind="stable")
+        y, times = table[value].to_numpy().astype(float)[at], table[time].take(pa.array(at))
+        n = len(y)
+        variance = y.var() if n > 3 else 0.0
+        if variance == 0:
+            return pa.table({c: pa.array([], t) for c, t in [*((c, table[c].type) for c in [*keys, time]), *((c, pa.float64()) for c in ("period_h", "power", "coi_h", "threshold"))]})
+        wave, period, _, coi = transform(y, dt, dj, mother=mother, order=order)
+        x = y - y.mean()
+        lag1 = float((x[1:] * x[:-1]).sum() / (x * x).sum())
+        bound = significance(variance, lag1, n, dt, period, level, dof)
+        made = {c: pa.array([table[c][0].as_py()] * (n * len(period)), table[c].type) for c in keys}
+        columns = {"period_h": np.repeat(period, n), "power": (np.abs(wave) ** 2).ravel(), "coi_h": np.tile(coi, len(period)), "threshold": np.repeat(bound, n)}
+        return pa.table({**made, time: pa.chunked_array(times.chunks * len(period), times.type), **{c: pa.array(v) for c, v in columns.items()}})
+
+    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in [*keys, time]), "period_h double, power double, coi_h double, threshold double"])
+    own = series.filter(F.col(value).isNotNull()).select(*keys, time, F.col(value).cast("double").alias(value))
+    return (own.groupBy(*keys) if keys else own.groupBy(F.lit(0))).applyInArrow(run, schema)
+
+
+def _grouped_power(series: DataFrame, keys: list[str], time: str, dt: float, dj: float, window: tuple[float, float] | None = None) -> DataFrame:
     """keys, period_h, time, west, east, coi_h: amplitudes of every scale and time of (a, b) series.
 
-    Periods above ``coi_h`` lie in the cone of influence of the record's ends.
+    Periods above ``coi_h`` lie in the cone of influence of the record's ends.  Only periods within ``window``
+    are given.
     """
+    low, high = window or (0.0, math.inf)
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table[time].to_numpy(), kind="stable")
         times = table[time].take(pa.array(order))
         a, b = (table[c].to_numpy().astype(float)[order] for c in ("a", "b"))
         (wa, period), (wb, _) = scaled(a, dt, dj), scaled(b, dt, dj)
-        west, _, east, _ = directions(wa, wb)
+        kept = (period >= low) & (period <= high)
+        period = period[kept]
+        west, _, east, _ = directions(wa[kept], wb[kept])
         n, k = len(order), len(period)
         made = {c: pa.array([table[c][0].as_py()] * (n * k), table[c].type) for c in keys}
         reach = fourier_factor() / math.sqrt(2) * dt * np.maximum(np.minimum(np.arange(n), np.arange(n - 1, -1, -1)), 1e-5)
-        return pa.table({**made, "period_h": pa.array(np.repeat(period, n)), time: pa.chunked_array(times.chunks * k, times.type), "west": pa.array(west.ravel()), "east": pa.array(east.ravel()), "coi_h": pa.array(np.tile(reach, k))})
+        return pa.table({**made, "period_h": pa.array(np.repeat(period, n)), time: pa.chunked_array(times.chunks * k, times.type) if k else times.slice(0, 0), "west": pa.array(west.ravel()), "east": pa.array(east.ravel()), "coi_h": pa.array(np.tile(reach, k))})
 
     schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), f"period_h double, {time} {series.schema[time].dataType.simpleString()}, west double, east double, coi_h double"])
     return series.select(*keys, time, "a", "b").groupBy(*keys).applyInArrow(run, schema)
 
 
-def fourier_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25) -> DataFrame:
-    """keys, period_h, time, and area means of west and east amplitudes of wavenumber m over the rings."""
+def fourier_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25, window: tuple[float, float] | None = None) -> DataFrame:
+    """keys, period_h, time, and area means of west and east amplitudes of wavenumber m over the rings.
+
+    ``window`` is the least and the greatest period in hours.
+    """
     rings = ring_fourier(field, nside, [*keys, time], value, [m])
-    power = _grouped_power(rings, [*keys, "ring"], time, dt, dj)
+    power = _grouped_power(rings, [*keys, "ring"], time, dt, dj, window)
     size = hp.ring_size(F.col("ring"), nside)
     return power.groupBy(*keys, "period_h", time).agg(*[(F.sum(F.col(c) * size) / hp.npix(nside)).alias(c) for c in ("west", "east")], F.max("coi_h").alias("coi_h"))
 
@@ -180,8 +216,8 @@ def harmonic_rings(field: DataFrame, nside: int, keys: list[str], time: str, val
     return _order_series(field, nside, keys, time, value, m, lmax, iterations, True).withColumn("m", F.lit(m))
 
 
-def harmonic_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25, lmax: int | None = None, iterations: int = 3) -> DataFrame:
+def harmonic_wavelet_spectrum(field: DataFrame, nside: int, keys: list[str], time: str, value: str, m: int, dt: float, dj: float = 0.25, lmax: int | None = None, iterations: int = 3, window: tuple[float, float] | None = None) -> DataFrame:
     """The same from spherical harmonics: roots of summed squares over degrees, over sqrt(2 pi)."""
     series = _order_series(field, nside, keys, time, value, m, lmax, iterations, False)
-    power = _grouped_power(series, [*keys, "l"], time, dt, dj)
+    power = _grouped_power(series, [*keys, "l"], time, dt, dj, window)
     return power.groupBy(*keys, "period_h", time).agg(*[(F.sqrt(F.sum(F.col(c) * F.col(c))) / math.sqrt(2 * math.pi)).alias(c) for c in ("west", "east")], F.max("coi_h").alias("coi_h"))

@@ -35,6 +35,16 @@ def read_each(spark: SparkSession, pattern: str) -> DataFrame:
     return clean(spark.read.parquet(pattern)).withColumn("source", name)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches, in order and without metadata; none is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    paths = sorted(p for p in (f.getPath().toString() for f in found) if not p.endswith(".meta"))
+    if not paths:
+        raise FileNotFoundError(f"no file matches {pattern}")
+    return paths
+
+
 def concatenate(parts: list[DataFrame]) -> DataFrame:
     """Tables merged by column name; a column that a table lacks is null there."""
     out = parts[0]
