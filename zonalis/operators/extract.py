@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import healpix as hp
+from zonalis.operators.neighbours import nearest
 from zonalis.operators.regrid import apply_weights, bilinear_weights
 
 
@@ -52,11 +53,13 @@ def meridian_nearest(points: DataFrame, lon: float, cells: int, count: int | Non
     n = count or max(180, 4 * round(math.sqrt(cells / 12)))
     band = max(5.0, 720.0 / math.sqrt(cells))
     apart = F.abs(F.pmod(F.col("lon") - lon + 180.0, F.lit(360.0)) - 180.0)
-    near = points.withColumn("near", apart <= band)
-    chosen = near if near.filter("near").isEmpty() else near.filter("near")
+    chosen = points.filter(apart <= band)
     targets = points.sparkSession.range(n).select(F.col("id").alias("target"), (-90.0 + F.col("id") * (180.0 / (n - 1))).alias("tlat"))
+    if chosen.isEmpty():
+        found = nearest(points, targets.select("target", F.lit(float(lon)).alias("lon"), F.col("tlat").alias("lat")))
+        return found.join(targets, "target").select("target", F.col("tlat").alias("lat"), "cell")
     d2 = hp.chord2(hp.unit_vector(F.col("lon"), F.col("lat")), hp.unit_vector(F.lit(lon), F.col("tlat")))
-    # A few hundred targets against the cells of one band.
+    # The band narrows as the targets grow in number, so there are some five pairs for each cell of the grid.
     met = chosen.join(F.broadcast(targets), F.lit(True))
     return met.groupBy("target", "tlat").agg(F.min_by("cell", F.struct(d2, F.col("cell"))).alias("cell")).select("target", F.col("tlat").alias("lat"), "cell")
 

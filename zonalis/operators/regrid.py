@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import healpix as hp
 from zonalis.operators.neighbours import nearest
+from zonalis.sources.stage import stored
 
 #: A target farther than this chord from its nearest source stays empty.
 RADIUS = 0.05
@@ -74,19 +75,34 @@ def _axis_brackets(axis: DataFrame, name: str, period: float | None = None) -> D
     return pairs.select("lo", high.alias("hi"), F.col("hi").isNull().alias("seam")).filter("hi is not null")
 
 
+def _dealt(brackets: DataFrame, extent: DataFrame, name: str) -> DataFrame:
+    """Brackets in every bin they touch: bins as wide as a bracket is on average, so twice as many rows at most."""
+    at = lambda c: F.floor((F.col(c) - F.col(f"{name}_0")) / F.col(f"{name}_step"))
+    return brackets.join(F.broadcast(extent)).withColumn(f"{name}_bin", F.explode(F.sequence(at("lo"), at("hi")))).select("lo", "hi", "seam", f"{name}_bin")  # one row of extents
+
+
 def bilinear_regular(field: DataFrame, targets: DataFrame, keys: list[str], values: list[str], period: float = 360.0) -> DataFrame:
     """Bilinear interpolation from a regular (lat, lon) grid to targets (target, lon, lat).
 
     Longitudes wrap, latitudes outside the grid give no row, a missing corner of non-zero weight gives null.
+    A target meets the brackets of its bin of each axis by an equi-join.
     """
-    lats, lons = _axis_brackets(field, "lat"), _axis_brackets(field, "lon", period)
-    start = field.agg(F.min("lon").alias("west"))
-    t = targets.join(F.broadcast(start)).withColumn("tlon", F.col("west") + F.pmod(F.col("lon") - F.col("west"), F.lit(period)))
+    lats, lons = stored(_axis_brackets(field, "lat")), stored(_axis_brackets(field, "lon", period))
+    extents = {}
+    for name, axis in (("lat", lats), ("lon", lons)):
+        low, high = F.min("lo"), F.max("hi")
+        extents[name] = axis.agg(low.alias(f"{name}_0"), high.alias(f"{name}_1"), F.try_divide(high - low, F.count("*")).alias(f"{name}_step"))
+    t = targets.join(F.broadcast(extents["lat"].join(extents["lon"])))  # one row of extents
+    turned = F.pmod(F.col("lon") - F.col("lon_0"), F.lit(period))
+    t = t.withColumn("tlon", F.col("lon_0") + F.when(turned < period, turned).otherwise(0.0))
+    bins = {f"{n}_bin": F.floor((F.col(c) - F.col(f"{n}_0")) / F.col(f"{n}_step")) for n, c in (("lat", "lat"), ("lon", "tlon"))}
+    t = t.withColumns(bins).withColumnsRenamed({"lon_0": "west", "lat_1": "top"}).select("target", "lat", "tlon", "west", "top", *bins)
     # Axes of a grid: as many rows as it has parallels or meridians, so these may be broadcast.
-    top = F.max("hi").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    la, lo = lats.withColumn("top", top).alias("la"), lons.alias("lo")
-    in_lat = (F.col("lat") >= F.col("la.lo")) & ((F.col("lat") < F.col("la.hi")) | (F.col("lat") == F.col("la.top")) & (F.col("la.hi") == F.col("la.top")))
-    b = t.join(F.broadcast(la), in_lat).join(F.broadcast(lo), (F.col("tlon") >= F.col("lo.lo")) & (F.col("tlon") < F.col("lo.hi")))
+    la, lo = _dealt(lats, extents["lat"], "lat").alias("la"), _dealt(lons, extents["lon"], "lon").alias("lo")
+    in_lat = (F.col("lat") >= F.col("la.lo")) & ((F.col("lat") < F.col("la.hi")) | (F.col("lat") == F.col("top")) & (F.col("la.hi") == F.col("top")))
+    in_lon = (F.col("tlon") >= F.col("lo.lo")) & (F.col("tlon") < F.col("lo.hi"))
+    t = t.alias("t")
+    b = t.join(F.broadcast(la), (F.col("t.lat_bin") == F.col("la.lat_bin")) & in_lat).join(F.broadcast(lo), (F.col("t.lon_bin") == F.col("lo.lon_bin")) & in_lon)
     wy = (F.col("lat") - F.col("la.lo")) / (F.col("la.hi") - F.col("la.lo"))
     wx = (F.col("tlon") - F.col("lo.lo")) / (F.col("lo.hi") - F.col("lo.lo"))
     east = F.when(F.col("lo.seam"), F.col("west")).otherwise(F.col("lo.hi"))

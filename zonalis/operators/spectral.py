@@ -1,7 +1,7 @@
 """Spectra, spatial filters, vorticity, divergence and Helmholtz parts.
 
 The dense transforms run once per map in a grouped Arrow kernel; a map never spans tasks.
-``low_degree_spectrum`` is the same as two aggregates, without Python on the executors.
+``low_degree_spectrum`` is the same as two aggregates; only its table of functions is made in Python.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -173,14 +173,27 @@ def ring_fourier(field: DataFrame, nside: int, keys: list[str], value: str, orde
     return sums.select(*keys, "ring", "m", (F.col("c") * factor).alias("a"), F.when(F.col("m") == 0, 0.0).otherwise(F.col("s") * factor).alias("b"))
 
 
+def legendre_table(spark: SparkSession, nside: int, lmax: int) -> DataFrame:
+    """l, m, ring, lambda of all functions up to ``lmax``: made order by order on the executors, marked for broadcast if small."""
+
+    def made(batches):
+        for batch in batches:
+            for m in batch["m"].to_pylist():
+                own = sh.legendre(nside, lmax, m)
+                l, ring = np.indices(own.shape, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"l": pa.array((l + m).ravel(), pa.int32()), "m": pa.array(np.full(own.size, m), pa.int32()), "ring": pa.array((ring + 1).ravel()), "lambda": pa.array(own.ravel())})
+
+    orders = spark.range(0, lmax + 1, 1, min(lmax + 1, 64)).select(F.col("id").cast("int").alias("m"))
+    return small(orders.mapInArrow(made, "l int, m int, ring long, lambda double"), (lmax + 1) * (lmax + 2) // 2 * (4 * nside - 1))
+
+
 def low_degree_spectrum(field: DataFrame, nside: int, keys: list[str], value: str, lmax: int, other: str | None = None) -> DataFrame:
     """Power (or cross power with ``other``) of the degrees up to ``lmax`` in one pass without refinement.
 
     Two aggregates: Fourier sums of the rings, then Legendre sums over rings against a
-    table of (lmax + 1)(lmax + 2)/2 functions at 4 nside - 1 rings, which is small and broadcast.
+    table of (lmax + 1)(lmax + 2)/2 functions at 4 nside - 1 rings, which is broadcast if it is small.
     """
-    rows = [(m + k, m, r + 1, float(x)) for m in range(lmax + 1) for k, own in enumerate(sh.legendre(nside, lmax, m)) for r, x in enumerate(own)]
-    table = field.sparkSession.createDataFrame(rows, "l int, m int, ring long, lambda double")
+    table = legendre_table(field.sparkSession, nside, lmax)
     names = [value] if other is None else [value, other]
     means = {f"_{v}": F.mean(v).over(W.partitionBy(*keys)) for v in names}
     filled = dense(field, nside, keys).withColumns(means).withColumns({v: F.coalesce(v, f"_{v}") for v in names})
@@ -188,7 +201,7 @@ def low_degree_spectrum(field: DataFrame, nside: int, keys: list[str], value: st
     for v in names:
         own = ring_fourier(filled, nside, keys, v, list(range(lmax + 1)))
         size = hp.ring_size(F.col("ring"), nside) / F.when(F.col("m") == 0, 1.0).otherwise(2.0) * (4 * math.pi / hp.npix(nside))
-        parts.append(own.join(F.broadcast(table), ["ring", "m"]).groupBy(*keys, "l", "m").agg(F.sum(F.col("a") * size * F.col("lambda")).alias(f"re_{v}"), F.sum(-F.col("b") * size * F.col("lambda")).alias(f"im_{v}")))
+        parts.append(own.join(table, ["ring", "m"]).groupBy(*keys, "l", "m").agg(F.sum(F.col("a") * size * F.col("lambda")).alias(f"re_{v}"), F.sum(-F.col("b") * size * F.col("lambda")).alias(f"im_{v}")))
     alm = parts[0] if other is None else parts[0].join(parts[1], [*keys, "l", "m"])
     second = other or value
     product = F.col(f"re_{value}") * F.col(f"re_{second}") + F.col(f"im_{value}") * F.col(f"im_{second}")
