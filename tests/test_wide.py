@@ -90,3 +90,60 @@ def test_table_of_functions_is_that_of_the_transforms(spark):
         own = harmonics.legendre(4, 5, m)
         assert all(rows[l, m, r + 1] == own[l - m, r] for l in range(m, 6) for r in range(15))
     assert hp.npix(4) == 192
+
+
+def test_horizontal_columns_by_rule(spark):
+    from zonalis.functions import cf
+
+    frame = lambda columns: spark.createDataFrame([], columns)
+    assert cf.horizontal(frame("time int, y int, x int, lon double, lat double, u double"), []) == ["y", "x"]
+    assert cf.horizontal(frame("time int, ncells long, clon double, clat double"), []) == ["ncells"]
+    assert cf.horizontal(frame("latitude double, longitude double, values double"), []) == ["latitude", "longitude"]
+    assert cf.horizontal(frame("time int, level double, north int, east int, u double"), ["time", "level", "north", "east"]) == ["north", "east"]
+    with pytest.raises(ValueError):
+        cf.horizontal(frame("time int, u double"), ["time"])
+    assert cf.usual_names(frame("time int, ncells long, clon double, clat double")).columns == ["time", "cell", "lon", "lat"]
+    assert cf.usual_names(frame("latitude double, longitude double, values double")).columns == ["lat", "lon", "values"]
+    assert cf.usual_names(frame("y int, x int, longitude double, latitude double")).columns == ["y", "x", "lon", "lat"]
+    assert cf.usual_names(frame("time int, u double")).columns == ["time", "u"]
+
+
+def test_kinetic_variables(spark):
+    df = spark.createDataFrame([], "cell long, ua double, va double, div double, vor double")
+    assert spectral.kinetic_variables(df) == (["ua", "va"], "kinetic")
+    assert spectral.kinetic_variables(df.drop("ua")) == (["div", "vor"], "kinetic-scalar")
+    assert spectral.kinetic_variables(df.withMetadata("va", {"units": "s-1"}), ["va", "ua"]) == (["va", "ua"], "kinetic-scalar")
+    with pytest.raises(KeyError):
+        spectral.kinetic_variables(df.select("cell", "ua", "div"))
+
+
+def test_ticks_beside_a_pressure_axis():
+    from zonalis.plans import figures
+
+    marks = figures.companion_ticks(1.0, 1000.0)
+    assert [z for _, z in marks] == [float(z) for z in range(0, 50, 5)]
+    assert marks[0][0] == pytest.approx(1000.0) and marks[2][0] == pytest.approx(1000 * math.exp(-10 / 7))
+    assert len(figures.companion_ticks(700.0, 1000.0)) == 3
+
+
+def test_commands_on_other_names_kinds_and_formats(spark, tmp_path):
+    from zonalis import cli
+    from zonalis.sources import writers
+
+    cells = grid.grid(spark, 4).select(F.col("cell_ring").alias("ncells"), F.col("lon").alias("clon"), F.col("lat").alias("clat"), F.lit(1.0).alias("level"), F.col("z").alias("u"), (F.col("z") * 2).alias("v"))
+    source = writers.write_field(cells, f"{tmp_path}/icon.csv")
+    spark.createDataFrame([(1.0, 9.5)], "level double, weight double").write.parquet(f"{source}.aside")
+    assert cli.main(["convert", source, f"{tmp_path}/hp.parquet", "--nside", "4"], spark) == 0
+    out = spark.read.parquet(f"{tmp_path}/hp.parquet")
+    assert out.count() == 192 and out.join(cells, out.cell == cells.ncells).filter(F.abs(out.u - cells.u) > 1e-6).isEmpty()
+    assert cli.main(["zonal-mean", f"{tmp_path}/hp.parquet", f"{tmp_path}/zm.csv"], spark) == 0
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/zm.csv.aside").collect()] == [(1.0, 9.5)]
+    assert cli.main(["spectrum", f"{tmp_path}/hp.parquet", f"{tmp_path}/ke.parquet", "--type", "kinetic", "--lmax", "3"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/ke.parquet").count() == 4
+    tides = spark.range(192).select(F.col("id").alias("cell"), F.lit(1).alias("m"), F.lit(24.0).alias("period_h"), F.lit(0.5).alias("phase"), F.lit(2.0).alias("amplitude"))
+    tides.write.parquet(f"{tmp_path}/tides.parquet")
+    assert cli.main(["plot", f"{tmp_path}/tides.parquet", f"{tmp_path}/panel.parquet", "--type", "tide"], spark) == 0
+    panel = spark.read.parquet(f"{tmp_path}/panel.parquet")
+    assert panel.count() == 15 and panel.filter("abs(phase - 0.5) > 1e-12 or amplitude <> 2").isEmpty()
+    with pytest.raises(ValueError):
+        cli.main(["plot", f"{tmp_path}/hp.parquet", f"{tmp_path}/none.parquet", "--type", "map", "--picture", f"{tmp_path}/a.png"], spark)

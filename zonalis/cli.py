@@ -51,15 +51,16 @@ def convert(args, spark) -> DataFrame:
     df = readers.concatenate([readers.read_field(spark, f, writers.resolve_store(f)[1]) for f in files])
     if args.grid:
         df = readers.with_grid(df, readers.read_field(spark, args.grid, writers.resolve_store(args.grid)[1]))
+    df = cf.usual_names(df)
     keys, meta = [c for c in df.columns if c in KEYS], writers.read_metadata(spark, files[0])
-    places = [c for c in ("cell", "lon", "lat", "hours") if c in df.columns]
+    places = [c for c in ("cell", "y", "x", "lon", "lat", "hours") if c in df.columns]
     if args.config:
         df, missing = readers.rename_mapped(df, readers.load_mapping(open(args.config, encoding="utf-8").read()), [*keys, *places])
         if missing:
             print(f"no column for {', '.join(missing)}", file=sys.stderr)
     elif readers.is_swath(meta):
         df = readers.named_by_standard(df, [*keys, *places])
-    values = [c for c in df.columns if c not in (*keys, "cell", "lon", "lat", "hours")]
+    values = [c for c in df.columns if c not in (*keys, *places)]
     if args.ut_bins or readers.is_swath(meta):
         args.ut_bins = args.ut_bins or 24
         z, t = F.sin(F.radians("lat")), F.pmod(F.col("lon"), F.lit(360.0)) / 90.0
@@ -137,6 +138,14 @@ def run_compare(args, spark) -> None:
         print(text)
 
 
+def run_spectrum(args, spark) -> DataFrame:
+    f = Field(spark, args.input)
+    names, kind = args.var.split(",") if args.var else [], args.type
+    if kind == "kinetic":
+        names, kind = spectral.kinetic_variables(f.df, names)
+    return spectral.spectrum(f.df, f.nside, f.keys, names or f.values[: 1 if kind == "power" else 2], kind, args.lmax)
+
+
 def _joined(parts: list[DataFrame], on: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -152,9 +161,16 @@ def plot(args, spark) -> DataFrame:
         "keogram": lambda: figures.keogram(f.df, f.nside, "time", "level", value, args.lat, args.lon),
         "map": lambda: figures.global_map(f.df, f.nside, "level", value, args.height or 0.0),
         "spectrum": lambda: figures.spectrum_lines(f.df),
-        "epflux": lambda: figures.flux_arrows(f.df),
+        "epflux": lambda: figures.flux_arrows(f.df, rho="rho" if "rho" in f.df.columns else None, scaling=args.scaling),
+        "tide": lambda: figures.tide_panel(f.df, f.nside, args.m, args.period, "level" if "level" in f.keys else None),
     }
-    return kinds[args.type]()
+    axes = {"section": ("lat", "level", value), "keogram": ("time", "level", value), "tide": ("ring", "level", "amplitude")}
+    if args.picture and args.type not in axes:
+        raise ValueError(f"no picture is drawn of {args.type}, only its rows are written")
+    out = kinds[args.type]()
+    if args.picture:
+        figures.draw(out, *axes[args.type], args.picture)
+    return out
 
 
 def commands() -> dict[str, tuple[Callable, list[tuple]]]:
@@ -177,14 +193,14 @@ def commands() -> dict[str, tuple[Callable, list[tuple]]]:
         "extract-point": (on(lambda a, f: extract.point(f.df, f.nside, a.lat, a.lon)), [("--lat", {"type": float, "required": True}), ("--lon", {"type": float, "required": True})]),
         "fill": (fill, [("--time-dim", {})]),
         "zonal-mean": (zonal_mean, [("--bands", {"type": int})]),
-        "spectrum": (on(lambda a, f: spectral.spectrum(f.df, f.nside, f.keys, a.var.split(",") if a.var else f.values[:2] if a.type != "power" else f.values[:1], a.type, a.lmax)), [("--var", {}), ("--lmax", {"type": int}), ("--type", {"default": "power", "choices": ["power", "cross", "kinetic", "kinetic-scalar"]})]),
+        "spectrum": (run_spectrum, [("--var", {}), ("--lmax", {"type": int}), ("--type", {"default": "power", "choices": ["power", "cross", "kinetic", "kinetic-scalar"]})]),
         "filter": (on(lambda a, f: spectral.filter_maps(f.df, f.nside, f.keys, f.values, fwhm_deg=a.fwhm, lmax=a.lmax, wavelength_km=a.wavelength)), [("--fwhm", {"type": float}), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
         "regrade": (on(lambda a, f: grid.regrade(f.df, f.nside, a.nside or hp.nside_for_zoom(a.zoom), f.keys, f.values)), [("--nside", {"type": int}), ("--zoom", {"type": int})]),
         "uv2dv": (on(lambda a, f: spectral.vorticity_divergence(f.df, f.nside, f.keys, a.u, a.v, a.lmax)), wind),
         "dv2uv": (on(lambda a, f: spectral.winds(f.df, f.nside, f.keys, a.div, a.vor, a.lmax)), [("--div", {"default": "divergence"}), ("--vor", {"default": "vorticity"}), ("--lmax", {"type": int})]),
         "helmholtz": (on(lambda a, f: spectral.helmholtz(f.df, f.nside, f.keys, a.u, a.v, a.lmax).drop(*(["psi"] if a.no_psi else []), *(["chi"] if a.no_chi else []))), [*wind, ("--no-psi", flag), ("--no-chi", flag)]),
         "tides": (run_tides, [("--var", {}), ("--periods", {}), ("--m", {}), ("--modes", {}), ("--lmax", {"type": int}), ("--method", {"default": "ls", "choices": ["ls", "fourier", "sh"]}), ("--dj", {"type": float, "default": 0.1}), ("--sym-asy", flag), ("--per-time", flag), ("--cells", flag)]),
-        "plot": (plot, [("--type", {"required": True, "choices": ["section", "keogram", "map", "spectrum", "epflux"]}), ("--var", {}), ("--lat", {"type": float}), ("--lon", {"type": float}), ("--height", {"type": float})]),
+        "plot": (plot, [("--type", {"required": True, "choices": ["section", "keogram", "map", "spectrum", "epflux", "tide"]}), ("--m", {"type": int, "default": 1}), ("--period", {"type": float, "default": 24.0}), ("--scaling", {"default": "root", "choices": ["root", "edmon"]}), ("--picture", {}), ("--var", {}), ("--lat", {"type": float}), ("--lon", {"type": float}), ("--height", {"type": float})]),
         "ep-flux": ep,
         "epflux": ep,
         "compare": (run_compare, [("--var", {}), ("--by-level", flag), ("--reduce", {"default": "zonal-mean", "choices": ["zonal-mean", "global", "none"]}), ("--lat-range", {"type": float, "nargs": 2, "default": [-90.0, 90.0]}), ("--level-range", {"type": float, "nargs": 2}), ("--levels", {"type": float, "nargs": "+"}), ("--format", {"default": "table", "choices": ["table", "csv", "markdown", "latex"]}), ("--precision", {"type": int, "default": 3}), ("--no-color", flag), ("--save", {}), ("--vector", flag), ("--lmax", {"type": int}), ("--wavelength", {"type": float})]),
@@ -233,6 +249,7 @@ def _run_one(args, spark: SparkSession, command: Callable) -> None:
         nside = getattr(args, "nside", None) or before.get("healpix_nside")
         meta = writers.metadata(nside, getattr(args, "order", "ring"), history=before.get("history"), note=f"zonalis {args.command}") if nside and "cell" in out.columns else None
         writers.write_field(out, args.output, overwrite=args.overwrite, meta=meta)
+        writers.carry_aside(spark, args.input, args.output)
 
 
 if __name__ == "__main__":

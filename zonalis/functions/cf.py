@@ -168,6 +168,42 @@ def cell_column(df: DataFrame) -> str | None:
     return next((c for n in CELL_NAMES for c in df.columns if c.lower() == n), None)
 
 
+def horizontal(df: DataFrame, keys: list[str]) -> list[str]:
+    """The columns that say where a row is: y and x, a cell, latitude and longitude, or the last two keys left.
+
+    ``keys`` are the columns that are no values.  Times and vertical axes are never taken.
+    """
+    named = {c.lower(): c for c in df.columns}
+    projected = [next((c for c in df.columns if attributes(df, c).get("standard_name") == f"projection_{d}_coordinate"), named.get(d)) for d in ("y", "x")]
+    if all(projected):
+        return projected
+    cell = cell_column(df)
+    if cell and df.schema[cell].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return [cell]
+    round_earth = [find_coordinate(df, kind, required=False) for kind in ("lat", "lon")]
+    if all(round_earth):
+        return round_earth
+    other = {find_coordinate(df, kind, required=False) for kind in ("time", "level")}
+    rest = [c for c in keys if c not in other]
+    if len(rest) < 2:
+        raise ValueError(f"no horizontal columns among {', '.join(df.columns)}")
+    return rest[-2:]
+
+
+def usual_names(df: DataFrame) -> DataFrame:
+    """``df`` with its longitude, latitude, cell, and y and x under those names; metadata stays."""
+    found = {find_coordinate(df, kind, required=False): kind for kind in ("lon", "lat")}
+    try:
+        own = horizontal(df, [])
+    except ValueError:
+        own = []
+    if len(own) == 1:
+        found[own[0]] = "cell"
+    elif own and not set(own) & set(found):
+        found |= dict(zip(own, ("y", "x"), strict=True))
+    return df.withColumnsRenamed({old: new for old, new in found.items() if old and old != new and new not in df.columns})
+
+
 def order_of(meta: dict) -> str:
     """RING or NESTED from a mapping's attributes, then global ones; ring if neither says."""
     said = str(meta.get("healpix", {}).get("indexing_scheme") or meta.get("healpix_order") or meta.get("healpix_scheme") or "ring").lower()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.functions import cf
 from zonalis.functions import healpix as hp
 from zonalis.operators import harmonics as sh
 from zonalis.operators.grid import small
@@ -90,6 +91,16 @@ def kinetic_kind(units: str | None, name: str) -> str:
     return "kinetic-scalar" if units in ("s-1", "s^-1", "1/s") or name.lower() in ("div", "divergence", "vor", "vorticity") else "kinetic"
 
 
+def kinetic_variables(df: DataFrame, names: list[str] | None = None) -> tuple[list[str], str]:
+    """The two variables of a kinetic spectrum and its kind: those named, else winds, else divergence and vorticity."""
+    if not names:
+        pairs = ([cf.find_variable(df, q) for q in two] for two in (("u", "v"), ("divergence", "vorticity")))
+        names = next((p for p in pairs if all(p)), None)
+        if names is None:
+            raise KeyError("no columns are winds, or divergence and vorticity")
+    return names, kinetic_kind(cf.attributes(df, names[0]).get("units"), names[0])
+
+
 def filter_maps(field: DataFrame, nside: int, keys: list[str], values: list[str], *, fwhm_deg: float | None = None, lmax: int | None = None, wavelength_km: float | None = None, iterations: int = 3) -> DataFrame:
     """Gaussian smoothing, or cutting off degrees above lmax or of shorter wavelength; exactly one is given."""
     if sum(x is not None for x in (fwhm_deg, lmax, wavelength_km)) != 1:

@@ -13,12 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonalis.functions import cf, units
 from zonalis.functions import healpix as hp
-from zonalis.functions import units
 from zonalis.operators import compare as cp
 from zonalis.operators import dynamics as dy
 from zonalis.operators import extract, grid, interpolator, reduce, regrid, spectral, tides, wavelet
-from zonalis.plans import harmonic_oracles, oracles
+from zonalis.plans import figures, harmonic_oracles, oracles, source_oracles
+from zonalis.sources import readers, writers
+from zonalis.sources.stage import new_folder
+from zonalis.streaming import zonal
 
 NSIDE = 4
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,9 +554,177 @@ def unit_conversion(spark, sf_dir):
     return rounded(out, "u", "temp", "v")
 
 
+# Reading, naming and writing --------------------------------------------------
+
+
+@query
+def cleaned_missing(spark, sf_dir):
+    rows = swath(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 13 == 0, float("nan")).otherwise(F.col("value")))
+    own = readers.clean(rows.select("event_id", "value"), readers.MISSING)
+    timed = own.withColumn("ms", F.col("event_id") * 360000).withColumn("hours", readers.swath_hours("ms"))
+    return rounded(timed.drop("ms"), "value", "hours")
+
+
+@query
+def merged_fields(spark, sf_dir):
+    f = field(spark, sf_dir)
+    parts = [f.filter("level <= 4").select("level", "cell", "u", "v"), f.filter("level > 4").select("cell", "level", "u", "temp")]
+    return rounded(readers.concatenate(parts), "u", "v", "temp")
+
+
+@query
+def placed_by_grid_table(spark, sf_dir):
+    return rounded(readers.with_grid(field(spark, sf_dir).select("level", "cell", "u"), points(spark)), "u", "lon", "lat")
+
+
+@query
+def mapped_variables(spark, sf_dir):
+    names = readers.load_mapping("wind: u  # zonal\nheat: 'temp'\nnone: absent\n")
+    return rounded(readers.rename_mapped(field(spark, sf_dir), names, ["level", "cell"])[0], "wind", "heat")
+
+
+@query
+def variables_of_a_swath(spark, sf_dir):
+    f = field(spark, sf_dir)
+    named = f.withMetadata("u", {"standard_name": "eastward_wind"}).withMetadata("temp", {"standard_name": "air_temperature"})
+    return rounded(readers.named_by_standard(named, ["level", "cell"]), "u", "temp")
+
+
+@query
+def stored_formats(spark, sf_dir):
+    rows, parts = field(spark, sf_dir).select("level", "cell", "u"), []
+    for ending in (".parquet", ".orc", ".csv", ".json"):
+        path = writers.write_field(rows, new_folder(spark, "field") + ending)
+        own = readers.read_field(spark, path, writers.resolve_store(path)[1])
+        parts.append(own.select(F.lit(ending).alias("store"), F.col("level").cast("double").alias("level"), F.col("cell").cast("long").alias("cell"), "u"))
+    return rounded(readers.concatenate(parts), "u")
+
+
+@query
+def axis_facts(spark, sf_dir):
+    """What passes over the values of axes find out."""
+    own, f = points(spark), field(spark, sf_dir)
+    half = own.filter("lon < 180")
+    facts = (cf.is_geographic(own, "lon", "lat"), cf.is_geographic(own.withColumn("lat", F.col("lat") * 2), "lon", "lat"), cf.is_global_longitude(own, "lon"), cf.is_global_longitude(half, "lon"), cf.are_degrees(own, "lon"), cf.are_degrees(own.withColumn("lon", F.radians("lon")), "lon"), cf.is_level_index(f, "level"), cf.is_level_index(f.withColumn("level", F.col("level") / 2), "level"), cf.time_step_hours(obs(spark, sf_dir).withColumn("time", F.date_trunc("hour", "time")), "time"))
+    return spark.createDataFrame([facts], "geographic boolean, beyond_poles boolean, whole_circle boolean, half_circle boolean, degrees boolean, radians boolean, level_index boolean, half_levels boolean, step_hours double")
+
+
+@query
+def elapsed_hours(spark, sf_dir):
+    rows = obs(spark, sf_dir).select("event_id", tides.elapsed_hours("time").alias("hours"))
+    first = rows.agg(F.min("hours").alias("first"))
+    return rounded(rows.join(F.broadcast(first)).select("event_id", (F.col("hours") - F.col("first")).alias("hours")), "hours", digits=5)  # one row
+
+
+@query
+def grid_constants(spark, sf_dir):
+    rows = [(z, hp.nside_for_zoom(z), hp.npix(hp.nside_for_zoom(z)), hp.cell_area(hp.nside_for_zoom(z)), hp.resolution_km(hp.nside_for_zoom(z)), hp.nside_for(5 ** (z + 1)), hp.is_valid_npix(12 * (z + 1) ** 2)) for z in range(11)]
+    return rounded(spark.createDataFrame(rows, "zoom long, nside long, npix long, area double, km double, nside_for long, valid boolean"), "area", "km")
+
+
+@query
+def tide_names(spark, sf_dir):
+    names = ("DW1", "SW2", "SE2", "DE3", "TW3", "QE4", "DS0", "3", "-2")
+    return spark.createDataFrame([(n, *tides.parse_mode(n)) for n in names], "name string, period_h double, m long")
+
+
+@query
+def curvilinear_cells(spark, sf_dir):
+    grid_rows = regular(spark, sf_dir).select("level", ((F.col("lat") + 84) / 12).cast("long").alias("y"), (F.col("lon") / 15).cast("long").alias("x"), "lat", "lon", "u")
+    return rounded(interpolator.flatten_curvilinear(grid_rows), "lat", "lon", "u")
+
+
+@query
+def healpix_to_coarser_nested(spark, sf_dir):
+    own = interpolator.HealpixInterpolator(2, "nested", source_nside=NSIDE)
+    return rounded(own(field(spark, sf_dir).select("level", "cell", "u"), ["level"], ["u"]), "u")
+
+
+@query
+def interpolate_radians(spark, sf_dir):
+    source = gappy(spark, sf_dir).join(F.broadcast(points(spark)), "cell").withColumns({"lon": F.radians("lon"), "lat": F.radians("lat")})  # 192 cells
+    return rounded(interpolator.HealpixInterpolator(8, radius=0.12).setup(source, radians=True)(source, ["level"], ["u", "temp"]), "u", "temp")
+
+
+@query
+def stream_daily_bins(spark, sf_dir):
+    """Daily means of a stream of the events, up to the watermark."""
+    source = f"{sf_dir}/event[s].parquet"  # a pattern, as the source takes one file for a folder otherwise
+    z, t = (2 * (F.col("event_id") % 997) + 1) / 997.0 - 1, 4 * (F.col("user_id") % 151) / 151.0
+    stream = zonal.watch(spark, source, spark.read.parquet(source).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    out, state = new_folder(spark, "bins"), new_folder(spark, "state")
+    zonal.run_available(zonal.windowed_zonal_means(stream, NSIDE, "value", time="ts", z=z, t=t), out, state)
+    return rounded(spark.read.parquet(out).select(F.dayofmonth("time").cast("long").alias("day"), "ring", "value", "samples"), "value")
+
+
+# What figures show ------------------------------------------------------------
+
+
+@query
+def figure_section(spark, sf_dir):
+    return rounded(figures.section(gappy(spark, sf_dir), NSIDE, "level", "u"), "lat", "u")
+
+
+@query
+def figure_section_meridian(spark, sf_dir):
+    return rounded(figures.section(field(spark, sf_dir, month=True), NSIDE, "level", "u", 77.0), "lat", "u")
+
+
+@query
+def figure_keogram(spark, sf_dir):
+    return rounded(figures.keogram(field(spark, sf_dir, month=True), NSIDE, "time", "level", "u"), "u")
+
+
+@query
+def figure_map(spark, sf_dir):
+    return rounded(figures.global_map(field(spark, sf_dir), NSIDE, "level", "u", 3.4), "u")
+
+
+@query
+def figure_spectrum(spark, sf_dir):
+    lines = field(spark, sf_dir).select((F.col("cell") % 24).alias("l"), (F.col("u") / (F.col("cell") + 1)).alias("power"))
+    return rounded(figures.spectrum_lines(lines), "power", "slope_3", "slope_5_3")
+
+
+@query
+def figure_tides(spark, sf_dir):
+    f = field(spark, sf_dir)
+    m = (F.col("cell") % 2 + 1).cast("int")
+    rows = f.select("level", "cell", m.alias("m"), (24.0 / m).alias("period_h"), (F.col("v") * 10).alias("phase"), F.col("u").alias("amplitude"))
+    return rounded(figures.tide_panel(rows, NSIDE, 2, 12.0, "level"), "phase", "amplitude")
+
+
+def _arrows(**options) -> Callable:
+    def run(spark, sf_dir):
+        rows = _zonal(spark, sf_dir).withColumnsRenamed({"u": "f_phi", "temp": "f_z"})
+        one, two = (1e6, 1e12) if options else (1.0, 1.0)
+        out = figures.flux_arrows(rows, **options)
+        return rounded(out.select("level", "ring", (F.col("arrow_x") / one).alias("arrow_x"), (F.col("arrow_y") / two).alias("arrow_y")), "arrow_x", "arrow_y", digits=4)
+
+    return run
+
+
+_QUERIES["figure_arrows"] = _arrows()
+_QUERIES["figure_arrows_edmon"] = _arrows(scaling="edmon")
+
+
+@query
+def tide_wavelet_cells(spark, sf_dir):
+    return rounded(tides.on_cells(tide_wavelet(spark, sf_dir), spark, 2), "lon")
+
+
+@query
+def ep_divergence_edge(spark, sf_dir):
+    """Points beside a gap lose their divergence, and so do those above the range of validity."""
+    flux = dy.ep_flux_pressure(eddies(spark, sf_dir), "auto", [])
+    gone = (F.col("ring") == 5) & F.col("level").between(30000.0, 40000.0)
+    out = dy.masked(dy.ep_divergence(flux.withColumn("f_phi", F.when(~gone, F.col("f_phi"))), []), least_pressure=20000.0)
+    return out.select(F.round("level", 4).alias("level"), "ring", F.round("divergence", 3).alias("divergence"), F.round("a_ep", 3).alias("a_ep"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in (oracles.SQL | harmonic_oracles.SQL).items() if k in _QUERIES}
+    return {k: v for k, v in (oracles.SQL | harmonic_oracles.SQL | source_oracles.SQL).items() if k in _QUERIES}

@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.operators import extract, reduce
+from zonalis.operators import dynamics, extract, reduce
 
 #: Labels, display units and factors of variables (fixed values).
 DISPLAY = {
@@ -58,12 +60,30 @@ def tide_panel(tides: DataFrame, nside: int, m: int, period_h: float, level: str
     return reduce.circular_mean(own, [*([level] if level else []), "ring"], "phase", "amplitude")
 
 
-def flux_arrows(ep: DataFrame, level: str = "level", every: int = 2, rho: str | None = None) -> DataFrame:
-    """Arrows of Eliassen-Palm flux: scaled by the axes, thinned, and none poleward of 85 degrees."""
+def flux_arrows(ep: DataFrame, level: str = "level", every: int = 2, rho: str | None = None, scaling: str = "root") -> DataFrame:
+    """Arrows of Eliassen-Palm flux: scaled by the axes, thinned, and none poleward of 85 degrees.
+
+    ``scaling`` root divides by the root of the pressure; edmon follows Edmon et al. (1980) and Jucker (2021), so
+    that arrows show divergence: on pressure in m3 and m3 hPa, on heights (with a density ``rho``) in m4 s-2 and m5 s-2.
+    """
     cos = F.cos(F.radians("lat"))
-    scale = F.sqrt(F.lit(1e5) / F.col(level)) if rho is None else 1 / F.col(rho)
-    arrows = {"arrow_x": F.col("f_phi") * cos * scale, "arrow_y": F.col("f_z") * cos * scale}
-    return ep.filter((F.abs("lat") <= 85) & (F.col("ring") % every == 0)).withColumns(arrows)
+    if scaling == "edmon":
+        turn = 2 * math.pi / dynamics.GRAVITY if rho is None else 1 / F.col(rho)
+        x = cos * dynamics.RADIUS * turn * F.col("f_phi")
+        y = cos * dynamics.RADIUS**2 * turn * F.col("f_z") / (100.0 if rho is None else 1.0)
+    else:
+        scale = F.sqrt(F.lit(1e5) / F.col(level)) if rho is None else 1 / F.col(rho)
+        x, y = F.col("f_phi") * cos * scale, F.col("f_z") * cos * scale
+    return ep.filter((F.abs("lat") <= 85) & (F.col("ring") % every == 0)).withColumns({"arrow_x": x, "arrow_y": y})
+
+
+def companion_ticks(least_hpa: float, greatest_hpa: float, most: int = 12) -> list[tuple[float, float]]:
+    """(pressure in hPa, log-pressure height in km) of round heights beside a pressure axis, ``most`` steps at most if a step allows."""
+    height = lambda p: dynamics.HEIGHT / 1000 * math.log(dynamics.P_SURFACE / 100 / p)
+    low, high = max(0.0, height(greatest_hpa)), height(least_hpa)
+    step = next((s for s in (1, 2, 5, 10, 20, 25, 50) if (high - low) / s <= most), 100)
+    marks = range(math.ceil(low / step) * step, math.floor(high / step) * step + 1, step)
+    return [(dynamics.P_SURFACE / 100 * math.exp(-z * 1000 / dynamics.HEIGHT), float(z)) for z in marks]
 
 
 def draw(rows: DataFrame, x: str, y: str, value: str, path: str) -> str:

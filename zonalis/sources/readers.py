@@ -25,8 +25,9 @@ def clean(df: DataFrame, missing: float | None = None) -> DataFrame:
 
 
 def read_field(spark: SparkSession, path: str | list[str], fmt: str = "parquet", missing: float | None = None) -> DataFrame:
-    """One table of a field; several paths or a glob are read together."""
-    return clean(spark.read.format(fmt).load(path), missing)
+    """One table of a field; several paths or a glob are read together.  Types of CSV are found by a pass over it."""
+    options = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
+    return clean(spark.read.format(fmt).options(**options).load(path), missing)
 
 
 def read_each(spark: SparkSession, pattern: str) -> DataFrame:
@@ -39,7 +40,7 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that a pattern matches, in order and without metadata; none is an error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    paths = sorted(p for p in (f.getPath().toString() for f in found) if not p.endswith(".meta"))
+    paths = sorted(p for p in (f.getPath().toString() for f in found) if not p.endswith((".meta", ".aside")))
     if not paths:
         raise FileNotFoundError(f"no file matches {pattern}")
     return paths

@@ -60,6 +60,17 @@ def write_field(df: DataFrame, path: str, *, overwrite: bool = False, store: str
     return path
 
 
+def aside(path: str) -> str:
+    """Where the variables of a field stand that have no cell: a small table keyed by the remaining columns."""
+    return f"{path.rstrip('/')}.aside"
+
+
+def carry_aside(spark: SparkSession, source: str, target: str) -> None:
+    """Pass the variables without a cell on from an input to an output."""
+    if exists(spark, aside(source)):
+        spark.read.parquet(aside(source)).write.mode("overwrite").parquet(aside(target))
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     place = f"{path.rstrip('/')}.meta"
     return json.loads(spark.read.text(place).first()[0]) if exists(spark, place) else {}
