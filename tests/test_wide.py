@@ -147,3 +147,19 @@ def test_commands_on_other_names_kinds_and_formats(spark, tmp_path):
     assert panel.count() == 15 and panel.filter("abs(phase - 0.5) > 1e-12 or amplitude <> 2").isEmpty()
     with pytest.raises(ValueError):
         cli.main(["plot", f"{tmp_path}/hp.parquet", f"{tmp_path}/none.parquet", "--type", "map", "--picture", f"{tmp_path}/a.png"], spark)
+
+
+def test_convert_curvilinear_and_variables_named_x_or_y(spark, tmp_path):
+    from zonalis import cli
+
+    flat = spark.range(2592).select((F.col("id") / 72).cast("int").alias("y"), (F.col("id") % 72).cast("int").alias("x"))
+    curved = flat.withColumns({"latitude": F.col("y") * 5.0 - 87.5, "longitude": F.col("x") * 5.0}).withColumn("u", F.sin(F.radians("latitude")))
+    curved.write.parquet(f"{tmp_path}/curved.parquet")
+    assert cli.main(["convert", f"{tmp_path}/curved.parquet", f"{tmp_path}/a.parquet", "--nside", "4"], spark) == 0
+    a = spark.read.parquet(f"{tmp_path}/a.parquet").join(grid.grid(spark, 4).withColumnRenamed("cell_ring", "cell"), "cell")
+    assert a.columns[1] == "u" and a.count() > 150 and a.filter(F.abs(F.col("u") - F.col("z")) > 0.05).isEmpty()
+    cells = grid.grid(spark, 4).select(F.col("cell_ring").alias("cell"), "lon", "lat", F.col("z").alias("x"), (F.col("z") * 2).alias("y"))
+    cells.write.parquet(f"{tmp_path}/cells.parquet")
+    assert cli.main(["convert", f"{tmp_path}/cells.parquet", f"{tmp_path}/b.parquet", "--nside", "4"], spark) == 0
+    b = spark.read.parquet(f"{tmp_path}/b.parquet")
+    assert b.columns == ["cell", "x", "y"] and b.join(cells.select("cell", F.col("x").alias("truth")), "cell").filter(F.abs(F.col("x") - F.col("truth")) > 1e-6).isEmpty()

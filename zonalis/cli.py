@@ -53,7 +53,9 @@ def convert(args, spark) -> DataFrame:
         df = readers.with_grid(df, readers.read_field(spark, args.grid, writers.resolve_store(args.grid)[1]))
     df = cf.usual_names(df)
     keys, meta = [c for c in df.columns if c in KEYS], writers.read_metadata(spark, files[0])
-    places = [c for c in ("cell", "y", "x", "lon", "lat", "hours") if c in df.columns]
+    # Beside a cell, or one without the other, y and x are variables.
+    own = ("cell",) if "cell" in df.columns else ("y", "x") if {"y", "x"} <= set(df.columns) else ()
+    places = [*own, *(c for c in ("lon", "lat", "hours") if c in df.columns)]
     if args.config:
         df, missing = readers.rename_mapped(df, readers.load_mapping(open(args.config, encoding="utf-8").read()), [*keys, *places])
         if missing:

@@ -169,17 +169,17 @@ def cell_column(df: DataFrame) -> str | None:
 
 
 def horizontal(df: DataFrame, keys: list[str]) -> list[str]:
-    """The columns that say where a row is: y and x, a cell, latitude and longitude, or the last two keys left.
+    """The columns that say where a row is: a cell, y and x, latitude and longitude, or the last two keys left.
 
     ``keys`` are the columns that are no values.  Times and vertical axes are never taken.
     """
+    cell = cell_column(df)
+    if cell and df.schema[cell].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return [cell]
     named = {c.lower(): c for c in df.columns}
     projected = [next((c for c in df.columns if attributes(df, c).get("standard_name") == f"projection_{d}_coordinate"), named.get(d)) for d in ("y", "x")]
     if all(projected):
         return projected
-    cell = cell_column(df)
-    if cell and df.schema[cell].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return [cell]
     round_earth = [find_coordinate(df, kind, required=False) for kind in ("lat", "lon")]
     if all(round_earth):
         return round_earth
