@@ -87,7 +87,10 @@ def bilinear_regular(field: DataFrame, targets: DataFrame, keys: list[str], valu
     Longitudes wrap, latitudes outside the grid give no row, a missing corner of non-zero weight gives null.
     A target meets the brackets of its bin of each axis by an equi-join.
     """
-    lats, lons = stored(_axis_brackets(field, "lat")), stored(_axis_brackets(field, "lon", period))
+    # Both axes in one pass over the field.
+    value = lambda n: F.struct(F.lit(n).alias("axis"), F.col(n).cast("double").alias("x"))
+    axes = stored(field.select(F.explode(F.array(value("lat"), value("lon"))).alias("a")).select("a.*").distinct())
+    lats, lons = (_axis_brackets(axes.filter(F.col("axis") == n).withColumnRenamed("x", n), n, p) for n, p in (("lat", None), ("lon", period)))
     extents = {}
     for name, axis in (("lat", lats), ("lon", lons)):
         low, high = F.min("lo"), F.max("hi")
